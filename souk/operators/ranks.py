@@ -46,7 +46,15 @@ def _slices(df: DataFrame, wanted: int | None) -> int:
     return wanted or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sorted_positions(df: DataFrame, order, store: Store, name: str, slices: int) -> DataFrame:
+def sorted_slices(
+    df: DataFrame, order, store: Store, name: str, slices: int | None = None
+) -> DataFrame:
+    """``df`` in global order, cut into slices: adds ``_slice`` and ``_pos``.
+
+    Rows of one hot key fall into several slices, since the cut may be at any
+    tuple of the order columns.
+    """
+    slices = _slices(df, slices)
     by = [_sort_column(s) for s in order]
     place = F.monotonically_increasing_id()
     placed = (
@@ -71,7 +79,7 @@ def global_row_number(
     df: DataFrame, order, store: Store, name: str, out: str = "row_number", slices: int | None = None
 ) -> DataFrame:
     """``df`` plus its 1-based row number under ``order``."""
-    placed = _sorted_positions(df, order, store, name, _slices(df, slices))
+    placed = sorted_slices(df, order, store, name, slices)
     numbered = placed.join(F.broadcast(_offsets(placed)), "_slice")
     return numbered.select(*df.columns, (F.col("_before") + F.col("_pos") + 1).alias(out))
 
@@ -104,7 +112,7 @@ def ntile_column(
     ``df`` afterwards is a plain projection without a join back.
     """
     needed = df.select(*[s.name for s in order])
-    placed = _sorted_positions(needed, order, store, name, _slices(df, slices))
+    placed = sorted_slices(needed, order, store, name, slices)
     numbered = placed.join(F.broadcast(_offsets(placed)), "_slice").withColumn(
         "_rn", F.col("_before") + F.col("_pos") + 1
     )

@@ -60,7 +60,10 @@ def customer_order_facts(orders: DataFrame) -> DataFrame:
         ),
     )
     unique = distinct_counts(orders, KEY, {"unique_orders": "order_id"})
-    return measures.join(profile, KEY, "left").join(unique, KEY, "left").select(ORDER_FACTS_KEYED)
+    joined = measures.join(profile, KEY, "left").join(unique, KEY, "left")
+    # A customer whose categories or brands are all unknown has no profile row.
+    counts = ["unique_categories_purchased", "unique_brands_purchased"]
+    return joined.fillna(0, counts).select(ORDER_FACTS_KEYED)
 
 
 def customer_marketing_facts(interactions: DataFrame) -> DataFrame:
@@ -119,7 +122,8 @@ def customer_marketing_facts(interactions: DataFrame) -> DataFrame:
             },
         ),
     ).withColumn("best_send_time_hour", F.col("best_send_time_hour").cast("int"))
-    return measures.join(profile, KEY, "left").select(MARKETING_FACTS_KEYED)
+    joined = measures.join(profile, KEY, "left").fillna(0, ["unique_campaigns_received"])
+    return joined.select(MARKETING_FACTS_KEYED)
 
 
 # Column orders of the marts.  Fixed values: "*" marks counts and sums, which
