@@ -204,13 +204,8 @@ def stock_out_details(sellers: DataFrame) -> DataFrame:
 def report_text(details: DataFrame, measure: str, tie: str, columns: list[str]) -> DataFrame:
     """All detail lines as one text, highest measure first (at most ten rows)."""
     line = F.concat(F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit("; "))
-    lines = details.withColumn("line", line).createOrReplaceTempView
-    view = f"_details_{measure}"
-    lines(view)
-    return details.sparkSession.sql(
-        f"SELECT listagg(line, '') WITHIN GROUP (ORDER BY {measure} DESC, {tie}) AS report "
-        f"FROM {view}"
-    )
+    ordered = f"listagg(line, '') WITHIN GROUP (ORDER BY {measure} DESC, {tie})"
+    return details.withColumn("line", line).agg(F.expr(ordered).alias("report"))
 
 
 # -- board -------------------------------------------------------------------

@@ -227,6 +227,7 @@ def largest_driver(drivers) -> Column:
 
 
 # Fixed format of the seller summary line: label and column, in this order.
+# Amounts and rates are written with two decimals.
 CONTEXT_PARTS = [
     ("Seller Summary: Revenue=", "total_order_value"),
     (", Orders=", "total_orders_actual"),
@@ -237,13 +238,17 @@ CONTEXT_PARTS = [
     (", Category=", "most_sold_category"),
     (", Rating=", "avg_customer_rating_actual"),
 ]
+CONTEXT_AS_IS = {"total_orders_actual", "most_sold_category"}
 
 
 def seller_context() -> Column:
     """Summary line; null as soon as one part is null."""
     parts = []
     for text, column in CONTEXT_PARTS:
-        parts += [F.lit(text), F.col(column).cast("string")]
+        value = F.col(column)
+        if column not in CONTEXT_AS_IS:
+            value = value.cast("decimal(38,2)")
+        parts += [F.lit(text), value.cast("string")]
     return F.concat(*parts)
 
 

@@ -1,16 +1,31 @@
-"""Declared schemas of the base tables (fixed formats), written as DDL."""
+"""Declared schemas of the base tables (fixed formats)."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
 
-def _schema(**groups: str) -> T.StructType:
-    """Build a schema from ``type=names`` entries ordered by an ``order`` list."""
-    order = groups.pop("order").split()
-    kinds = {name: kind for kind, names in groups.items() for name in names.split()}
-    ddl = ", ".join(f"`{name}` {kinds[name]}" for name in order)
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "date": T.DateType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _schema(order: str, **names_by_type: str) -> T.StructType:
+    """Columns in ``order``, each named under its type."""
+    kinds = {name: kind for kind, names in names_by_type.items() for name in names.split()}
+    return T.StructType([T.StructField(name, _TYPES[kinds[name]]) for name in order.split()])
+
+
+def _columns(text: str) -> T.StructType:
+    """Schema from ``name type, name type, ...``."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 CUSTOMERS = _schema(
@@ -113,20 +128,20 @@ SELLERS = _schema(
         seller_pincode seller_country fulfillment_type top_delivery_partner""",
 )
 
-MAPPING = T.StructType.fromDDL(
+MAPPING = _columns(
     "customer_id bigint, order_id bigint, product_id string, category string, seller_id bigint"
 )
 
-ORDER_EVENTS = T.StructType.fromDDL(
+ORDER_EVENTS = _columns(
     "event_id bigint, event_timestamp timestamp_ntz, customer_id bigint, seller_id bigint, "
     "order_value double, category string, payment_type string, is_returned boolean, "
     "is_cancelled boolean, customer_rating int, delivery_time_days int"
 )
 
-EVENT_LEDGER = T.StructType.fromDDL("event_id bigint")
+EVENT_LEDGER = _columns("event_id bigint")
 
 # Raw event files as delivered.
-RAW_EVENTS = T.StructType.fromDDL(
+RAW_EVENTS = _columns(
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
     "props string"
 )
