@@ -25,7 +25,7 @@ def mapped_select(mapped, source: str) -> str:
 
 def R(x: str, n: int) -> str:
     """Round half away from zero on the shortest decimal form of a double."""
-    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,15)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {n}) AS DOUBLE)"
 
 
 def E(x: str) -> str:

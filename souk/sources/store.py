@@ -86,6 +86,10 @@ class Store:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(*[self.path(name, f) for f in folders])
 
+    def current(self, name: str) -> str:
+        """Folder of the newest committed version, for use as a stream source."""
+        return self.path(name, self._complete(name, "v=")[-1])
+
     def create_if_absent(self, name: str, schema: T.StructType) -> DataFrame:
         if not self.exists(name):
             self.replace(name, self.spark.createDataFrame([], schema))
