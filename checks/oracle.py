@@ -357,8 +357,6 @@ O["job14_forecast_customer_outlook_v2"] = texted("m_fc2", moments=["forecast_gen
 O["job15_forecast_seller_outlook"] = texted("m_fs", moments=["forecast_generated_at"])
 O["job16_customer_seller_mapping"] = "SELECT * FROM m_mapping"
 _marts = {
-    "customer_order_facts": "m_order_facts",
-    "customer_marketing_facts": "m_marketing_facts",
     "gold_customer_360": "m_gold_customer",
     "seller_orders": "m_sold",
     "gold_seller_360": "m_gold_seller",
@@ -436,7 +434,7 @@ _landed = ", ".join(c for c in testdata.order_events("1").columns if c != "event
 O["str02_land_with_ids"] = (
     "SELECT * REPLACE (" + moment("event_timestamp") + " AS event_timestamp) FROM (SELECT "
     "row_number() OVER (ORDER BY NOT is_returned, event_timestamp, customer_id, seller_id, "
-    f"order_value, category, payment_type) AS event_id, {_landed} FROM m_events)"
+    f"order_value, category, payment_type, is_cancelled, customer_rating, delivery_time_days) AS event_id, {_landed} FROM m_events)"
 )
 O["str03_customer_activity"] = texted("m_cact", moments=["last_event_time"])
 O["str03_stream_customer_activity"] = O["str03_customer_activity"]

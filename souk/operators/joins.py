@@ -28,18 +28,24 @@ def split_join(
     key: str,
     spread: str,
     how: str = "inner",
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     splits: int = SPLITS,
 ) -> DataFrame:
     """Join many ``facts`` to ``dim`` (unique on ``key``), splitting hot keys.
 
-    Rows of a hot key are spread over ``splits`` sub-keys by a hash of the
-    ``spread`` column and the matching dim row is repeated as often; all other
-    rows use sub-key 0.  Every row takes part, so the result equals the plain
-    join.  ``how`` is inner, left or left_semi.
+    Rows of a hot key, and rows without key, are spread over ``splits``
+    sub-keys by a hash of the ``spread`` column; the dim row of a hot key is
+    repeated as often.  All other rows use sub-key 0.  Every row takes part,
+    so the result equals the plain join.  ``how`` is inner, left or left_semi.
+
+    ``counted`` names a cheaper frame with at least the key rows of ``facts``
+    (say, a stored table ``facts`` was joined from) to find the hot keys in.
     """
-    hot = F.broadcast(hot_keys(facts, key, hot_rows).withColumn("_hot", F.lit(True)))
-    sub = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(splits))).otherwise(F.lit(0))
+    found = hot_keys(facts if counted is None else counted, key, hot_rows)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
+    scattered = F.col("_hot") | F.col(key).isNull()
+    sub = F.when(scattered, F.pmod(F.xxhash64(spread), F.lit(splits))).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(
         F.array(F.lit(0))
     )

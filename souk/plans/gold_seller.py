@@ -26,6 +26,7 @@ def customer_seller_mapping(
         "customer_id",
         spread="order_id",
         how="left_semi",
+        counted=orders,
     ).select("customer_id", "order_id", "product_id", "category", seller.cast("long").alias(KEY))
 
 
@@ -72,10 +73,11 @@ def order_fact(
     )
     seller_side = sellers.select(*_renamed(FACT_SELLER))
     mapped = order_side.join(mapping.select("order_id", KEY), "order_id")
-    with_customer = split_join(mapped, customer_side, "customer_id", spread="order_id")
-    return split_join(with_customer, seller_side, KEY, spread="order_id").select(
-        *order_fact_columns()
+    with_customer = split_join(
+        mapped, customer_side, "customer_id", spread="order_id", counted=orders
     )
+    wide = split_join(with_customer, seller_side, KEY, spread="order_id", counted=mapping)
+    return wide.select(*order_fact_columns())
 
 
 def order_fact_columns() -> list[str]:
@@ -86,9 +88,9 @@ def order_fact_columns() -> list[str]:
 
 
 SELLER_ORDER_COLUMNS = """order_id customer_id order_value discount_amount order_date quantity
-    category brand product_id is_returned is_cancelled refund_amount cod_flag payment_type
-    order_status delivery_time_days customer_rating high_rto_risk_flag fraud_flag margin
-    profit""".split()
+    category brand product_id product_name is_returned is_cancelled refund_amount cod_flag
+    payment_type payment_status order_status delivery_time_days customer_rating
+    stock_level_at_order high_rto_risk_flag fraud_flag margin profit""".split()
 
 
 def seller_orders(orders: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from souk.functions.exact import exact_avg
 from souk.functions.ladders import ladder
 from souk.functions.nulls import greatest_n
+from souk.operators.joins import split_join
 
 KEYS = ["seller_id", "product_id"]
 
@@ -19,23 +20,15 @@ RISK_LEVEL = [
 ]
 
 
-def inventory_risk(orders: DataFrame, mapping: DataFrame, sellers: DataFrame) -> DataFrame:
-    """One row per (seller, product) with orders.
+def inventory_risk(sold: DataFrame, sellers: DataFrame) -> DataFrame:
+    """One row per (seller, product) with orders, over ``seller_orders``.
 
     Current stock is the level seen by the latest order; an order is pending
     while it is shipped or its payment is open.
     """
     c = F.col
     open_order = (F.lower("order_status") == "shipped") | (F.lower("payment_status") == "pending")
-    sold = (
-        orders.filter(c("product_id").isNotNull())
-        .select(
-            "order_id", "product_id", "product_name", "category", "order_date", "order_value",
-            "order_status", "payment_status", "stock_level_at_order",
-        )
-        .join(mapping.select("order_id", "seller_id"), "order_id")
-    )
-    per_product = sold.groupBy(*KEYS).agg(
+    per_product = sold.filter(c("product_id").isNotNull()).groupBy(*KEYS).agg(
         F.max_by(
             F.struct("stock_level_at_order", "product_name", "category"),
             F.struct("order_date", "order_id"),
@@ -45,8 +38,9 @@ def inventory_risk(orders: DataFrame, mapping: DataFrame, sellers: DataFrame) ->
     )
     after = c("current_stock_level") - c("pending_orders")
     shortage = greatest_n(F.lit(0).cast("long"), -c("stock_after_pending"))
+    names = sellers.select("seller_id", "seller_name")
     return (
-        per_product.join(sellers.select("seller_id", "seller_name"), "seller_id")
+        split_join(per_product, names, "seller_id", spread="product_id", counted=sold)
         .select(
             *KEYS,
             "seller_name",

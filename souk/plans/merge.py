@@ -25,6 +25,11 @@ TRAFFIC_SOURCES = ["organic", "paid", "social", "direct"]
 FRAUD_VALUE, REFUND_SHARE, SLOW_DAYS = 15000, 0.9, 5
 
 
+def clock_time(moment: Column) -> Column:
+    """HH:MM:SS of a timestamp without zone, whatever the session's zone."""
+    return F.substring(moment.cast("string"), 12, 8)
+
+
 def max_id(orders: DataFrame) -> Column:
     """Highest assigned id as a scalar subquery, 0 for an empty table."""
     return orders.agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
@@ -67,7 +72,7 @@ def merged_orders(numbered: DataFrame, last_id: Column) -> DataFrame:
         {
             "order_id": last_id + c("rank"),
             "order_date": F.to_date("event_timestamp"),
-            "order_time": F.date_format("event_timestamp", "HH:mm:ss"),
+            "order_time": clock_time(c("event_timestamp")),
             "product_id": F.concat(F.lit("P"), product),
             "product_name": F.concat(F.lit("Product_"), product),
             "brand": choose(salted_pick(event, "brand", 5), BRANDS, BRAND_OTHER),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.exact import exact_avg, exact_sum
+from souk.functions.exact import exact_avg, exact_sum, units
+from souk.operators.joins import split_join
 from souk.operators.topk import chosen, distribution, top_k
+from souk.plans.alerts import downgraded
 
 
 def _whole(column: str, out: str) -> Column:
@@ -435,11 +437,21 @@ def customer_platforms(profiles: DataFrame, customer_id: int) -> DataFrame:
 def customer_order_sample(customers: DataFrame, orders: DataFrame, k: int = 10) -> DataFrame:
     """First k joined rows by order id.
 
-    The join keeps every order of a known customer, so the k smallest order
-    ids with a known customer are taken after it.
+    The k order ids are found on two narrow columns; only those k rows are
+    then fetched in full.
     """
-    joined = orders.join(customers.withColumnRenamed("city", "customer_city"), "customer_id")
-    return joined.orderBy("order_id").limit(k).select(
+    ids = split_join(
+        orders.select("order_id", "customer_id"),
+        customers.select("customer_id"),
+        "customer_id",
+        spread="order_id",
+        how="left_semi",
+        counted=orders,
+    )
+    first = F.broadcast(ids.orderBy("order_id").limit(k).select("order_id"))
+    rows = F.broadcast(orders.join(first, "order_id").orderBy("order_id").limit(k))
+    people = customers.withColumnRenamed("city", "customer_city").drop("total_orders")
+    return people.join(rows, "customer_id").select(
         "customer_id", "first_name", "last_name", "customer_city", "loyalty_tier", "order_id",
         "order_date", "product_name", "category", "order_value", "payment_type", "order_status",
     )
@@ -486,8 +498,6 @@ def persona_revenue_at_risk(forecast: DataFrame) -> DataFrame:
 
 
 def predicted_tier_drops(forecast: DataFrame) -> DataFrame:
-    from souk.plans.alerts import downgraded
-
     drop = downgraded("current_loyalty_tier", "predicted_loyalty_tier", strict=True)
     return forecast.filter(drop).select(
         "customer_id", "customer_name", "current_loyalty_tier", "predicted_loyalty_tier",
@@ -505,7 +515,8 @@ def churn_heavy_categories(
     """Distinct high-churn customers per seller category."""
     risky = forecast.filter(F.col("churn_prediction_30d").isin("VERY HIGH", "HIGH"))
     served = _pairs(mapping).join(risky.select("customer_id"), "customer_id")
-    labelled = served.join(sellers.select("seller_id", "seller_category"), "seller_id")
+    kinds = sellers.select("seller_id", "seller_category")
+    labelled = split_join(served, kinds, "seller_id", spread="customer_id", counted=mapping)
     return (
         labelled.groupBy("seller_category")
         .agg(F.count_distinct("customer_id").alias("high_churn_customers"))
@@ -530,20 +541,15 @@ def top_clv_with_sellers(
 
 
 def order_value_by_persona_and_tier(
-    orders: DataFrame, mapping: DataFrame, ai: DataFrame, sellers: DataFrame
+    sold: DataFrame, ai: DataFrame, sellers: DataFrame
 ) -> DataFrame:
     """Average order value; orders are reduced to (customer, seller) sums first."""
-    from souk.functions.exact import units
-
-    sums = (
-        orders.select("order_id", "order_value")
-        .join(mapping.select("order_id", "customer_id", "seller_id"), "order_id")
-        .groupBy("customer_id", "seller_id")
-        .agg(F.sum(units(F.col("order_value"))).alias("u"), F.count("order_value").alias("n"))
-    )
-    labelled = sums.join(ai.select("customer_id", "persona"), "customer_id").join(
-        sellers.select("seller_id", "seller_tier"), "seller_id"
+    sums = sold.groupBy("customer_id", "seller_id").agg(
+        F.sum(units(F.col("order_value"))).alias("u"), F.count("order_value").alias("n")
     )
+    named = sums.join(ai.select("customer_id", "persona"), "customer_id")
+    tiers = sellers.select("seller_id", "seller_tier")
+    labelled = split_join(named, tiers, "seller_id", spread="customer_id", counted=sold)
     mean = F.sum("u") / F.lit(10000.0) / F.nullif(F.sum("n"), F.lit(0))
     return labelled.groupBy("persona", "seller_tier").agg(
         F.sum("n").alias("orders"), F.round(mean, 2).alias("avg_order_value")
@@ -557,4 +563,5 @@ def critical_customers_with_sellers(
         "customer_id", "customer_name", "current_clv"
     )
     risk = seller_forecast.select("seller_id", "seller_name", "risk_forecast")
-    return _pairs(mapping).join(critical, "customer_id").join(risk, "seller_id")
+    served = _pairs(mapping).join(critical, "customer_id")
+    return split_join(served, risk, "seller_id", spread="customer_id", counted=mapping)

@@ -66,7 +66,7 @@ def portable(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             col = F.date_format(col, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.substring(col.cast("string"), 1, 19)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")
         elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
@@ -110,9 +110,10 @@ def _(e):
 
 @query("src03_replace_table")
 def _(e):
-    store, tiers = scratch(e), e.table("customers").groupBy("loyalty_tier").count()
-    store.replace("tiers", tiers.limit(0))
-    store.replace("tiers", tiers.withColumnRenamed("count", "customers"))
+    store, people = scratch(e), e.table("customers")
+    store.replace("tiers", people.select("customer_id", "loyalty_tier"))
+    per_tier = store.read("tiers").groupBy("loyalty_tier").agg(F.count("*").alias("customers"))
+    store.replace("tiers", per_tier)
     return store.read("tiers")
 
 
@@ -358,7 +359,7 @@ add("fn08_dates", lambda e: e.table("orders").select(
     F.date_add("order_date", c("delivery_time_days")).alias("due")))
 add("fn09_times", lambda e: e.table("realtime_order_events").select(
     "event_id", F.to_date("event_timestamp").alias("day"),
-    F.date_format("event_timestamp", "HH:mm:ss").alias("time"),
+    merge.clock_time(c("event_timestamp")).alias("time"),
     F.timestamp_diff("SECOND", "event_timestamp", F.lit(e.now).cast("timestamp_ntz")).alias("age_s"),
     (c("event_timestamp") >= F.lit(e.now).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS"))
     .alias("within_6h")))
@@ -688,8 +689,8 @@ _report("qst4_churn_heavy_categories", reports.churn_heavy_categories, FC,
         "customer_seller_mapping", "sellers")
 _report("qst5_top_clv_with_sellers", reports.top_clv_with_sellers, FC,
         "customer_seller_mapping", "sellers")
-_report("qst6_order_value_by_persona_and_tier", reports.order_value_by_persona_and_tier, "orders",
-        "customer_seller_mapping", "customer_ai_360", "sellers")
+_report("qst6_order_value_by_persona_and_tier", reports.order_value_by_persona_and_tier,
+        "seller_orders", "customer_ai_360", "sellers")
 _report("qst7_critical_customers_with_sellers", reports.critical_customers_with_sellers, FC,
         "customer_seller_mapping", FS)
 

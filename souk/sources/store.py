@@ -65,11 +65,17 @@ class Store:
     def exists(self, name: str) -> bool:
         return bool(self._complete(name, "v=") or self._complete(name, "epoch="))
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
+    def replace(self, name: str, df: DataFrame, cluster_by: str | None = None) -> DataFrame:
         """Create or replace a table from a query and return the stored rows.
 
-        ``df`` may read the current version of the same table.
+        ``df`` may read the current version of the same table.  With
+        ``cluster_by`` rows of one key are stored together and in order: later
+        aggregates by that key combine before their shuffle, and a lookup of
+        one key skips most row groups.  The rebalance splits a partition that
+        a hot key makes too large and merges small ones.
         """
+        if cluster_by:
+            df = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by)
         versions = [int(v[2:]) for v in self._children(name) if v.startswith("v=")]
         target = self.path(name, f"v={max(versions, default=0) + 1:06d}")
         df.write.parquet(target)

@@ -82,7 +82,7 @@ def land(batch: DataFrame, store: Store, name: str, epoch: int, now: str) -> Dat
     )
     earlier = store.read_before(name, epoch, ORDER_EVENTS)
     last = earlier.agg(F.coalesce(F.max("event_id"), F.lit(0))).scalar()
-    order = [Asc(c) for c in ("event_timestamp", "customer_id", "seller_id", "order_value")]
+    order = [Asc(f.name) for f in ORDER_EVENTS.fields if f.name != "event_id"]
     numbered = global_row_number(filled, order, store, f"land-{name}-{epoch}", out="place")
     rows = numbered.withColumn("event_id", last + F.col("place"))
     typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in ORDER_EVENTS.fields])

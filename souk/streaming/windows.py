@@ -1,7 +1,8 @@
 """Time-bounded activity: windows and sessions with a watermark.
 
-The functions accept a static or a streaming frame.  Event times are cast to
-a zoned timestamp first, since only those can carry a watermark.
+The functions accept a static or a streaming frame.  In a stream, event times
+are cast to a zoned timestamp, since only those can carry a watermark; run it
+with a UTC session.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from souk.functions.exact import exact_sum
 
 
 def timed(events: DataFrame, watermark: str) -> DataFrame:
+    if not events.isStreaming:
+        return events.withColumn("event_time", F.col("event_timestamp"))
     at = F.col("event_timestamp").cast("timestamp")
     return events.withColumn("event_time", at).withWatermark("event_time", watermark)
 
 
 def deduplicated(events: DataFrame, watermark: str) -> DataFrame:
-    """Drops redelivered events; ids are remembered for the watermark delay."""
+    """Drops redelivered events; a stream remembers ids for the watermark delay."""
+    if not events.isStreaming:
+        return timed(events, watermark).dropDuplicates(["event_id"])
     return timed(events, watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
