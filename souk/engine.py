@@ -35,10 +35,6 @@ REFRESH_ORDER = [
     "seller_live",
 ]
 
-# Large tables that most jobs aggregate or look up by one key.
-CLUSTERED = {"orders": "customer_id", "marketing_interactions": "customer_id"}
-
-
 class Engine:
     """Base tables plus marts over one set of sources.
 
@@ -63,7 +59,7 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._ready:
-            self._ready[name] = self.store.replace(name, self.plan(name), CLUSTERED.get(name))
+            self._ready[name] = self.store.replace(name, self.plan(name))
         return self._ready[name]
 
     def plan(self, name: str) -> DataFrame:
@@ -76,9 +72,9 @@ class Engine:
             self._ready.pop(name, None)
         return {name: self.table(name) for name in REFRESH_ORDER}
 
-    def replace_base(self, name: str, df: DataFrame) -> None:
+    def replace_base(self, name: str, df: DataFrame, cluster_by: str | None = None) -> None:
         """Swap a base table, for example after a merge of live events."""
-        self._ready[name] = self.store.replace(name, df)
+        self._ready[name] = self.store.replace(name, df, cluster_by)
 
     # -- base tables ------------------------------------------------------
     def _customers(self):

@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", name: str = "souk", **extra: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
