@@ -374,6 +374,13 @@ O["job17_refresh_all"] = " UNION ALL ".join(
     f"SELECT '{mart}' AS mart, count(*) AS rows FROM {part}" for mart, part in _marts.items()
 )
 
+_all = "(SELECT customer_id, order_value, order_date FROM m_orders UNION ALL SELECT customer_id, " \
+    "order_value, order_date FROM m_merged)"
+O["job17_refresh_after_writeback"] = (
+    f"SELECT (SELECT count(*) FROM m_customers) AS customers, count(*) AS orders, {E('order_value')} "
+    f"AS order_value, {day('max(order_date)')} AS last_order, count(*) AS seller_orders FROM {_all}"
+)
+
 # -- labels -----------------------------------------------------------------------------------------
 
 for _key, _label in {

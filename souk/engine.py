@@ -16,6 +16,7 @@ from souk.plans import (
     platforms,
     rfm,
 )
+from souk.sources.schemas import BASE_TABLES
 from souk.sources.store import Store
 from souk.sources.testdata import AS_OF, NOW, TestData
 
@@ -68,10 +69,17 @@ class Engine:
 
     def refresh(self) -> dict[str, DataFrame]:
         """Rebuild every mart in dependency order from the current base tables."""
-        for name in REFRESH_ORDER:
-            self._ready.pop(name, None)
+        self._ready = {n: df for n, df in self._ready.items() if n in BASE_TABLES}
         return {name: self.table(name) for name in REFRESH_ORDER}
 
+    def absorb(self, merged_orders: DataFrame, merged_mapping: DataFrame) -> dict[str, DataFrame]:
+        """Add written-back orders to the base tables, then refresh."""
+        orders = self.table("orders").unionByName(merged_orders)
+        mapping = self.table("customer_seller_mapping").unionByName(merged_mapping)
+        self.replace_base("orders", orders, cluster_by="customer_id")
+        self.replace_base("customer_seller_mapping", mapping)
+        return self.refresh()
+
     def replace_base(self, name: str, df: DataFrame, cluster_by: str | None = None) -> None:
         """Swap a base table, for example after a merge of live events."""
         self._ready[name] = self.store.replace(name, df, cluster_by)

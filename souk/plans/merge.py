@@ -10,7 +10,7 @@ from souk.functions.ladders import choose
 from souk.functions.nulls import greatest_n, iff
 from souk.operators.joins import not_in, split_join
 from souk.operators.ranks import Asc, global_row_number
-from souk.sources.schemas import MAPPING, ORDERS
+from souk.sources.schemas import EVENT_LEDGER, MAPPING, ORDERS
 from souk.sources.store import Store, conform
 
 # Pick lists of the merged attributes, in hash order.
@@ -35,6 +35,11 @@ def max_id(orders: DataFrame) -> Column:
     return orders.agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
 
 
+def highest_id(orders: DataFrame) -> int:
+    """The same as a number, for a table that does not change meanwhile."""
+    return orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("id")).first().id
+
+
 def unmerged(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Events not yet merged; a redelivered event id counts once."""
     return not_in(events.dropDuplicates(["event_id"]), ledger, "event_id")
@@ -140,22 +145,21 @@ def mapping_by_value(orders: DataFrame, events: DataFrame, after_id) -> DataFram
 
 
 def merge_epoch(
-    store: Store, events: DataFrame, base_orders: DataFrame, customers: DataFrame, epoch: int
+    store: Store, events: DataFrame, last_base_id: int, customers: DataFrame, epoch: int
 ) -> None:
     """Merge one batch of events into the stored tables under ``epoch``.
 
     Orders and mapping are written first and the ledger last, each in the
     batch's own folder.  A batch that fails halfway is simply run again: it
-    ignores its own earlier output and rewrites it.
+    ignores its own earlier output and rewrites it.  ``last_base_id`` is the
+    highest id of the base orders, so a batch only looks at merged orders.
     """
-    from souk.sources.schemas import EVENT_LEDGER
-
     ledger = store.read_before("realtime_events_merged", epoch, EVENT_LEDGER)
     earlier = store.read_before("orders_merged", epoch, ORDERS)
     fresh = unmerged(events, ledger)
-    ids = base_orders.select("order_id").unionByName(earlier.select("order_id"))
+    last = F.greatest(F.lit(last_base_id), max_id(earlier))
     numbered = numbered_events(fresh, customers, store, f"merge-{epoch}")
-    full = store.replace(f"_merged/{epoch}", merged_orders(numbered, max_id(ids)))
+    full = store.replace(f"_merged/{epoch}", merged_orders(numbered, last))
     store.append("orders_merged", order_rows(full), epoch)
     store.append("mapping_merged", mapping_rows(full), epoch)
     store.append("events_rejected", rejects(fresh, customers), epoch)

@@ -427,6 +427,19 @@ def _(e):
     return out
 
 
+@query("job17_refresh_after_writeback")
+def _(e):
+    fresh = Engine(e.spark, _Stored(e), scratch(e), e.as_of, e.now)
+    made = _merged(e)
+    built = fresh.absorb(merge.order_rows(made), merge.mapping_rows(made))
+    people = built["gold_customer_360"].agg(
+        F.count("*").alias("customers"), F.sum("total_orders").alias("orders"),
+        exact_sum(c("total_order_value")).alias("order_value"),
+        F.max("last_order_date").alias("last_order"))
+    return people.withColumn(
+        "seller_orders", built["gold_seller_360"].agg(F.sum("total_orders_actual")).scalar())
+
+
 class _Stored:
     """Base tables of an engine offered as a source for another one."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +57,32 @@ def into_table(store: Store, name: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, epoch: store.append(name, batch, epoch)
 
 
+def _newest(store: Store, name: str, keys: list[str]) -> DataFrame:
+    """Newest row per key with its epoch: compacted rows plus later batches."""
+    packed, parts, done = f"_compact/{name}", [], -1
+    if store.exists(packed):
+        parts.append(store.read(packed))
+        done = parts[0].agg(F.max("epoch")).first()[0]
+    later = [store.path(name, f"epoch={e}") for e in store.epochs(name) if e > done]
+    if later:
+        reader = store.spark.read.option("basePath", store.path(name))
+        parts.append(reader.parquet(*later).withColumn("epoch", F.col("epoch").cast("long")))
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    newest = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "epoch").alias("row"), F.max("epoch").alias("epoch")
+    )
+    return newest.select(*keys, "row.*", "epoch")
+
+
 def latest_rows(store: Store, name: str, keys: list[str]) -> DataFrame:
     """Newest row per key of a table that receives updated rows batch by batch."""
-    rows = store.spark.read.option("basePath", store.path(name)).parquet(
-        *[store.path(name, f"epoch={e}") for e in store.epochs(name)]
-    )
-    values = [c for c in rows.columns if c not in (*keys, "epoch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("row"))
-    return newest.select(*keys, "row.*")
+    return _newest(store, name, keys).drop("epoch")
+
+
+def compact(store: Store, name: str, keys: list[str]) -> None:
+    """Fold all batches so far into one version; readers then skip them."""
+    store.replace(f"_compact/{name}", _newest(store, name, keys))
 
 
 def land(batch: DataFrame, store: Store, name: str, epoch: int, now: str) -> DataFrame:

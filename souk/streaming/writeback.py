@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.plans.merge import merge_epoch
+from souk.plans.merge import highest_id, merge_epoch
 from souk.sources.store import Store
 from souk.streaming.changes import event_stream, run
 
@@ -19,9 +19,10 @@ def run_writeback(
     files_per_batch: int | None = None,
 ):
     """Merge new events, one epoch per micro-batch, with its own offsets."""
+    last = highest_id(base_orders)
     return run(
         event_stream(spark, landing, files_per_batch),
-        lambda batch, epoch: merge_epoch(store, batch, base_orders, customers, epoch),
+        lambda batch, epoch: merge_epoch(store, batch, last, customers, epoch),
         store.path("_checkpoints", "writeback"),
         every=every,
     )

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", "souk-tests")
+    return local_session("*", "souk-tests", spark__sql__shuffle__partitions="4")
 
 
 @pytest.fixture()
