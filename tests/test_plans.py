@@ -22,15 +22,6 @@ def scans(text):
     return re.findall(r"ReadSchema: struct<([^>]*)>", text)
 
 
-PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct")
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("str0", "str1", "src"))])
-def test_no_python_workers_and_no_cross_products(engine, name):
-    text = physical(QUERIES[name](engine))
-    assert not [p for p in PYTHON if p in text]
-
-
 @pytest.mark.parametrize("name", ["customer_order_facts", "gold_customer_360", "seller_orders",
                                   "gold_seller_360", "customer_ai_360", "forecast_customer_outlook",
                                   "inventory_risk", "platform_profiles", "cross_platform_identity"])

@@ -7,7 +7,11 @@ from checks.compare import compare, connect
 from checks.oracle import oracle_sql
 from souk.registry import QUERIES
 from tests.conftest import SMALL
+from tests.helpers import plan_text
 
+# Python workers and cross products have no place in any plan.
+UNWANTED = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+            "CartesianProduct", "BroadcastNestedLoopJoin")
 ORACLE = oracle_sql()
 
 
@@ -23,6 +27,8 @@ def test_every_query_has_comparison_sql():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = entry_points.queries()[name](spark, SMALL)
+    text = plan_text(df)
+    assert not [word for word in UNWANTED if word in text]
     assert compare(df, con, ORACLE[name]) == ""
 
 
