@@ -84,51 +84,74 @@ def global_row_number(
     return numbered.select(*df.columns, (F.col("_before") + F.col("_pos") + 1).alias(out))
 
 
-def _after(order, cut) -> Column:
-    """True when the row sorts strictly after the tuple ``cut`` under ``order``."""
-    result: Column | None = None
-    for spec in reversed(order):
-        col, edge = F.col(spec.name), cut[spec.name]
-        if edge is None:
-            same = col.isNull()
-            beyond = col.isNotNull() if spec.descending else F.lit(False)
-        else:
-            same = col.eqNullSafe(F.lit(edge))
-            if spec.descending:
-                beyond = F.coalesce(col < F.lit(edge), F.lit(False))
-            else:
-                beyond = col.isNull() | F.coalesce(col > F.lit(edge), F.lit(False))
-        result = beyond if result is None else beyond | (same & result)
-    return result
-
-
-def ntile_column(
-    df: DataFrame, buckets: int, order, store: Store, name: str, slices: int | None = None
-) -> Column:
-    """Expression giving NTILE(``buckets``) of a row of ``df`` under ``order``.
-
-    Only the last row of each bucket matters: those at most ``buckets - 1``
-    tuples are looked up in the sorted frame and become literals, so scoring
-    ``df`` afterwards is a plain projection without a join back.
+def ntile_columns(
+    df: DataFrame,
+    buckets: int,
+    measures: dict,
+    key: str,
+    store: Store,
+    name: str,
+    slices: int | None = None,
+) -> dict[str, Column]:
+    """NTILE(``buckets``) expressions for rows of ``df``, one per measure.
+
+    ``measures`` maps an output name to the ``Asc`` or ``Desc`` numeric column
+    it ranks; ties are ordered by the unique ``key``.  All measures share one
+    sorted pass: their rows are laid one after the other, (measure, value,
+    key).  Only the last row of each bucket matters: at most ``buckets - 1``
+    tuples per measure are looked up and become literals, so scoring ``df``
+    afterwards is a plain projection without a join back.  Values are compared
+    as doubles (whole numbers below 2^53 stay exact).
     """
-    needed = df.select(*[s.name for s in order])
-    placed = sorted_slices(needed, order, store, name, slices)
-    numbered = placed.join(F.broadcast(_offsets(placed)), "_slice").withColumn(
-        "_rn", F.col("_before") + F.col("_pos") + 1
+    specs = list(measures.values())
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("_m"), _hole(s).alias("_hole"), _signed(s).alias("_v"))
+            for i, s in enumerate(specs)
+        ]
     )
-    total = placed.count()
+    long = df.select(key, F.explode(cells).alias("cell")).select("cell.*", key)
+    order = [Asc(c) for c in ("_m", "_hole", "_v", key)]
+    placed = sorted_slices(long, order, store, name, slices)
+    total = placed.count() // len(specs)
+    lasts = _bucket_ends(total, buckets)
+    wanted = [m * total + n for m in range(len(specs)) for n in lasts]
+    number = F.col("_before") + F.col("_pos") + 1
+    numbered = placed.join(F.broadcast(_offsets(placed)), "_slice").withColumn("_rn", number)
+    # At most buckets - 1 rows per measure reach the driver.
+    edges = {r["_rn"]: r for r in numbered.filter(F.col("_rn").isin(wanted)).collect()}
+    return {
+        out: _tile(spec, key, [edges[m * total + n] for n in lasts])
+        for m, (out, spec) in enumerate(measures.items())
+    }
+
+
+def _hole(spec) -> Column:
+    """0/1 so that nulls sort last when ascending and first when descending."""
+    known = F.col(spec.name).isNotNull()
+    return (known if spec.descending else ~known).cast("int")
+
+
+def _signed(spec) -> Column:
+    value = F.coalesce(F.col(spec.name).cast("double"), F.lit(0.0))
+    return F.lit(0.0) - value if spec.descending else value
+
+
+def _bucket_ends(total: int, buckets: int) -> list[int]:
+    """Row numbers of the last rows of all buckets but the last non-empty one."""
     small, bigger = divmod(total, buckets)
-    lasts, end = [], 0
-    for bucket in range(buckets - 1):
+    ends, end = [], 0
+    for bucket in range(buckets):
         end += small + (1 if bucket < bigger else 0)
-        lasts.append(end)
-    wanted = sorted({n for n in lasts if n > 0})
-    # At most buckets - 1 rows reach the driver.
-    edges = {
-        row["_rn"]: row.asDict() for row in numbered.filter(F.col("_rn").isin(wanted)).collect()
-    }
+        ends.append(end)
+    return sorted({n for n in ends if 0 < n < total})
+
+
+def _tile(spec, key: str, edges) -> Column:
     tile = F.lit(1)
-    for last in lasts:
-        if 0 < last < total:
-            tile = tile + F.when(_after(order, edges[last]), 1).otherwise(0)
-    return tile.cast("int")
+    for edge in edges:
+        hole, value = _hole(spec), _signed(spec)
+        later_key = (value == edge["_v"]) & (F.col(key) > F.lit(edge[key]))
+        later = (hole == edge["_hole"]) & ((value > edge["_v"]) | later_key)
+        tile = tile + F.when((hole > edge["_hole"]) | later, 1).otherwise(0)
+    return tile

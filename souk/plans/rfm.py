@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.ladders import ladder
 from souk.functions.text import quoted_label
-from souk.operators.ranks import Asc, Desc, ntile_column
+from souk.operators.ranks import Asc, Desc, ntile_columns
 from souk.sources.store import Store
 
 KEY = "customer_id"
@@ -28,9 +28,8 @@ def rfm_scores(base: DataFrame, store: Store, higher_is_better: bool = False) ->
     r: 5 is the most recent fifth.  f and m: 1 is the highest fifth, as the
     modelled product computes it; ``higher_is_better=True`` turns them round.
     """
-    r = ntile_column(base, 5, [Asc("recency_days"), Asc(KEY)], store, "recency")
-    f = ntile_column(base, 5, [Desc("frequency"), Asc(KEY)], store, "frequency")
-    m = ntile_column(base, 5, [Desc("monetary_value"), Asc(KEY)], store, "monetary")
+    measures = {"r": Asc("recency_days"), "f": Desc("frequency"), "m": Desc("monetary_value")}
+    r, f, m = ntile_columns(base, 5, measures, KEY, store, "rfm").values()
     if higher_is_better:
         f, m = 6 - f, 6 - m
     scored = base.select(

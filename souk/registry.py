@@ -16,7 +16,7 @@ from souk.functions.ladders import choose, ladder
 from souk.functions.text import quoted_label
 from souk.operators import joins, topk
 from souk.operators.profile import Profile, distinct_counts, value_profile
-from souk.operators.ranks import Asc, Desc, global_row_number, ntile_column
+from souk.operators.ranks import Asc, Desc, global_row_number, ntile_columns
 from souk.plans import (
     alerts,
     enrichment,
@@ -322,9 +322,9 @@ add("agg16_conditional_average", lambda e: e.table("orders").groupBy("category")
 @query("win01_global_ntile")
 def _(e):
     base = e.table("gold_customer_360").select("customer_id", "total_order_value", "marketing_roi")
-    by = lambda *s: ntile_column(base, 5, [*s, Asc("customer_id")], scratch(e), "n")
-    return base.select("customer_id", by(Desc("total_order_value")).alias("value_tile"),
-                       by(Asc("marketing_roi")).alias("roi_tile"))
+    ranked = {"value_tile": Desc("total_order_value"), "roi_tile": Asc("marketing_roi")}
+    tiles = ntile_columns(base, 5, ranked, "customer_id", scratch(e), "tiles")
+    return base.withColumns(tiles).select("customer_id", *ranked)
 
 
 add("win02_top_value_per_group", lambda e: gold_seller.seller_top_values(e.table("seller_orders")))

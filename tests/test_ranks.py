@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.operators.ranks import Asc, Desc, global_row_number, ntile_column
+from souk.operators.ranks import Asc, Desc, global_row_number, ntile_columns
 from tests.helpers import by, frame, plan_text
 
 
@@ -39,9 +39,10 @@ def test_equals_plain_window(spark, store, n, direction):
         "k",
     )
     numbered = by(global_row_number(df, order, store, "n", slices=4), "k")
-    t5 = ntile_column(df, 5, order, store, "t5", slices=4)
-    t7 = ntile_column(df, 7, order, store, "t7", slices=4)
-    tiles = by(df.select("k", t5.alias("t5"), t7.alias("t7")), "k")
+    tiles = {}
+    for n_tiles in (5, 7):
+        tiles |= ntile_columns(df, n_tiles, {f"t{n_tiles}": order[0]}, "k", store, "t", slices=4)
+    tiles = by(df.withColumns(tiles), "k")
     for k, row in want.items():
         assert numbered[k].row_number == row.rn
         assert (tiles[k].t5, tiles[k].t7) == (row.t5, row.t7)
@@ -51,18 +52,32 @@ def test_one_value_for_a_third_of_the_rows(spark, store):
     df = spark.range(3000).select(
         F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("v")
     )
-    tile = ntile_column(df, 5, [Asc("v"), Asc("k")], store, "hot", slices=16)
-    sizes = [r["count"] for r in df.select(tile.alias("t")).groupBy("t").count().collect()]
-    assert sizes == [600] * 5
+    tiles = ntile_columns(df, 5, {"a": Asc("v"), "d": Desc("v")}, "k", store, "hot", slices=16)
+    for name, tile in tiles.items():
+        sizes = [r["count"] for r in df.select(tile.alias("t")).groupBy("t").count().collect()]
+        assert sizes == [600] * 5
+
+
+def test_several_measures_share_one_pass(spark, store):
+    df = values(spark, 143).withColumn("w", F.col("k") % 10)
+    measures = {"v5": Desc("v"), "w5": Asc("w"), "k5": Desc("k")}
+    got = by(df.withColumns(ntile_columns(df, 5, measures, "k", store, "m", slices=4)), "k")
+    plain = {
+        "v5": Window.orderBy(F.col("v").desc_nulls_first(), "k"),
+        "w5": Window.orderBy("w", "k"),
+        "k5": Window.orderBy(F.col("k").desc()),
+    }
+    want = by(df.select("k", *[F.ntile(5).over(w).alias(n) for n, w in plain.items()]), "k")
+    assert all(got[k][n] == want[k][n] for k in want for n in plain)
 
 
 def test_empty_input(spark, store):
     df = values(spark, 1).filter("k < 0")
-    assert df.select(ntile_column(df, 5, [Asc("k")], store, "e").alias("t")).count() == 0
+    assert df.withColumns(ntile_columns(df, 5, {"t": Asc("v")}, "k", store, "e")).count() == 0
     assert global_row_number(df, [Asc("k")], store, "e2").count() == 0
 
 
 def test_scoring_is_a_plain_projection(spark, store):
     df = values(spark, 60)
-    scored = df.select("k", ntile_column(df, 5, [Asc("v"), Asc("k")], store, "p").alias("t"))
+    scored = df.withColumns(ntile_columns(df, 5, {"t": Asc("v")}, "k", store, "p"))
     assert "Exchange" not in plan_text(scored) and "Window" not in plan_text(scored)
