@@ -42,7 +42,8 @@ class Engine:
     A mart is built from other marts and written to the store the first time
     it is asked for; later reports read the written table with only the
     columns and row groups they need.  ``source`` offers the base tables as
-    methods (see ``TestData``).
+    methods: ``ModelTables`` for tables with the declared schemas, ``TestData``
+    for the given star-schema tables.
     """
 
     def __init__(
@@ -101,6 +102,8 @@ class Engine:
         return self.source.realtime_order_events()
 
     def _customer_seller_mapping(self):
+        if hasattr(self.source, "customer_seller_mapping"):
+            return self.source.customer_seller_mapping()
         sellers = self.table("sellers").agg(F.count("*")).scalar()
         return gold_seller.customer_seller_mapping(
             self.table("orders"), self.table("customers"), sellers

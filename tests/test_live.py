@@ -204,6 +204,18 @@ def test_stream_goes_on_after_a_restart(spark, store):
     assert as_set(jobs.customers().select(want.columns)) == as_set(want)
 
 
+def test_standing_query_with_an_interval(spark, store):
+    landing, sizes = store.path("landing"), []
+    land_files(spark, landing, many(10), 1)
+    query = changes.run(changes.event_stream(spark, landing), lambda b, e: sizes.append(b.count()),
+                        store.path("_c"), every="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sizes == [10]
+
+
 def test_change_stream_reads_each_file_once(spark, store):
     landing, sizes = store.path("landing"), []
     for n in range(3):

@@ -14,6 +14,20 @@ def engine(spark):
     return engine_for(spark, SMALL)
 
 
+def test_own_base_tables_give_the_same_marts(spark, engine, tmp_path):
+    from souk.engine import Engine
+    from souk.sources.store import Store
+    from souk.sources.tables import ModelTables
+    from tests.helpers import as_set
+
+    for name in ("customers", "orders", "marketing_interactions", "sellers",
+                 "customer_seller_mapping", "realtime_order_events"):
+        engine.table(name).write.parquet(str(tmp_path / name))
+    own = Engine(spark, ModelTables(spark, str(tmp_path)), Store(spark, str(tmp_path / "store")))
+    for name in ("gold_customer_360", "gold_seller_360"):
+        assert as_set(own.plan(name)) == as_set(engine.plan(name))
+
+
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
