@@ -40,17 +40,27 @@ def highest_id(orders: DataFrame) -> int:
     return orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("id")).first().id
 
 
-def unmerged(events: DataFrame, ledger: DataFrame) -> DataFrame:
+# A batch up to this many events is broadcast against the large tables, which
+# are then only scanned; a larger one is shuffled.
+BATCH_ROWS = 200_000
+
+
+def unmerged(events: DataFrame, ledger: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Events not yet merged; a redelivered event id counts once."""
+    if events.count() <= batch_rows:
+        ids = F.broadcast(events.select("event_id").distinct())
+        ledger = ledger.join(ids, "event_id", "left_semi")
     return not_in(events.dropDuplicates(["event_id"]), ledger, "event_id")
 
 
-def rejects(events: DataFrame, customers: DataFrame) -> DataFrame:
-    """Events of unknown customers: merged as seen, but no order is made."""
-    return events.join(customers.select("customer_id"), "customer_id", "left_anti")
+def rejects(fresh: DataFrame, merged: DataFrame) -> DataFrame:
+    """Events no order was made for (unknown customers); they count as merged."""
+    return not_in(fresh, merged, "event_id")
 
 
-def numbered_events(fresh: DataFrame, customers: DataFrame, store: Store, name: str) -> DataFrame:
+def numbered_events(
+    fresh: DataFrame, customers: DataFrame, store: Store, name: str, batch_rows: int = BATCH_ROWS
+) -> DataFrame:
     """Events of known customers with shipping place and their global rank."""
     places = customers.select(
         "customer_id",
@@ -58,7 +68,10 @@ def numbered_events(fresh: DataFrame, customers: DataFrame, store: Store, name:
         F.col("state").alias("shipping_state"),
         F.col("pincode").alias("shipping_pincode"),
     )
-    known = split_join(fresh, places, "customer_id", spread="event_id")
+    if fresh.count() <= batch_rows:
+        known = places.join(F.broadcast(fresh), "customer_id")
+    else:
+        known = split_join(fresh, places, "customer_id", spread="event_id")
     order = [Asc("event_timestamp"), Asc("event_id")]
     return global_row_number(known, order, store, name, out="rank")
 
@@ -156,11 +169,11 @@ def merge_epoch(
     """
     ledger = store.read_before("realtime_events_merged", epoch, EVENT_LEDGER)
     earlier = store.read_before("orders_merged", epoch, ORDERS)
-    fresh = unmerged(events, ledger)
+    fresh = store.replace(f"_fresh/{epoch}", unmerged(events, ledger))
     last = F.greatest(F.lit(last_base_id), max_id(earlier))
     numbered = numbered_events(fresh, customers, store, f"merge-{epoch}")
     full = store.replace(f"_merged/{epoch}", merged_orders(numbered, last))
     store.append("orders_merged", order_rows(full), epoch)
     store.append("mapping_merged", mapping_rows(full), epoch)
-    store.append("events_rejected", rejects(fresh, customers), epoch)
+    store.append("events_rejected", rejects(fresh, full), epoch)
     store.append("realtime_events_merged", fresh.select("event_id"), epoch)

@@ -140,6 +140,18 @@ def test_unknown_customers_are_kept_as_rejects(spark, store):
     assert store.read("orders_merged").count() == 1
 
 
+def test_large_batches_give_the_same_orders(spark, store):
+    orders, customers = tables(spark)
+    seen = spark.createDataFrame([(3,), (4,), (77,)], schemas.EVENT_LEDGER)
+    batch, results = events(spark, many(40) + many(5)), []
+    for limit in (0, 10**6):
+        fresh = merge.unmerged(batch, seen, batch_rows=limit)
+        numbered = merge.numbered_events(fresh, customers, store, f"l{limit}", batch_rows=limit)
+        made = merge.merged_orders(numbered, merge.max_id(orders))
+        results.append((as_set(fresh, "event_id"), as_set(made.select(sorted(made.columns)))))
+    assert results[0] == results[1] and len(results[0][0]) == 38
+
+
 def test_mapping_by_event_id_where_values_collide(spark, store):
     orders, customers = tables(spark)
     twins = events(spark, [event(1, 1, seller=4), event(2, 1, seller=8)])
