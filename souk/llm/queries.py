@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from souk.llm import mixing, tokens
 from souk.llm.decontaminate import benchmark_hits
+from souk.llm.store import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,9 +20,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def byte_bpe(path: str | None = None) -> str:
+    """The tokenizer's JSON text; read once on the driver, 1.5 MB whatever the data."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh(spark, "tokens")
+    tokens.write_tokens(table(spark, folder, "documents"), path, byte_bpe())
+    return tokens.checksums(tokens.read_tokens(spark, path))
+
+
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op3_token_orc"] = op3_token_orc
+QUERIES["op8_source_mixing"] = op8_source_mixing
+ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,14 @@ CHUNK = 2_000_000  # bytes of text handled at once; one text may exceed it
 _ODD = 0x9E3779B97F4A7C15
 
 
+def kept(name: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once in each Python process: tables and caches that tasks share."""
+    box = sys.modules.setdefault("_souk_kept", types.ModuleType("_souk_kept")).__dict__
+    if name not in box:
+        box[name] = make()
+    return box[name]
+
+
 def _classes(word: Iterable[int]) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(word)] = True
@@ -79,10 +90,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Spans:
     """64-bit hashes of any spans of one byte string, equal for equal bytes."""
 
-    _made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
     def __init__(self, data: np.ndarray, seed: int = 0, fold: np.ndarray | None = None):
-        tab, up, down = self._tables(seed, len(data) + 1)
+        tab, up, down = _tables(seed, len(data) + 1)
         if fold is not None:
             tab = tab[fold]
         self._down = down
@@ -92,19 +101,24 @@ class Spans:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
-    @classmethod
-    def _tables(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if seed not in cls._made or len(cls._made[seed][1]) < n:
-            base = (_ODD * (2 * seed + 1)) % 2**64 | 5
-            tab = np.random.default_rng(1000 + seed).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-            size = max(n, CHUNK + 1)
-            powers = []
-            for b in (base, pow(base, -1, 2**64)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                powers.append(np.cumprod(p, dtype=np.uint64))
-            cls._made[seed] = (tab, *powers)
-        return cls._made[seed]
+
+def _tables(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random odd number for each byte, and the powers of a base and of its inverse."""
+    size = CHUNK + 1
+    while size < n:
+        size *= 2
+
+    def make():
+        base = (_ODD * (2 * seed + 1)) % 2**64 | 5
+        tab = np.random.default_rng(1000 + seed).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        powers = []
+        for b in (base, pow(base, -1, 2**64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            powers.append(np.cumprod(p, dtype=np.uint64))
+        return tab, *powers
+
+    return make() if size > 8 * CHUNK else kept(("spans", seed, size), make)
 
 
 def runs_of(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
