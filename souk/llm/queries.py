@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from souk.llm import mixing, tokens
+from souk.llm import mixing, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.store import fresh
 
@@ -37,11 +38,27 @@ def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.checksums(tokens.read_tokens(spark, path))
 
 
+def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    records = warc.read_warc(spark, path)
+    again = F.col("record_type") == "revisit"
+    return records.select(
+        F.when(F.col("record_id") != "", F.col("record_id").cast("bigint")).alias("page_id"),
+        F.when(again, F.col("length")).otherwise(F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
+        F.when(again, F.col("digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        "record_type",
+        F.when(again, F.col("refers_to").cast("bigint")).alias("refers_to"),
+    )
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES["op3_token_orc"] = op3_token_orc
+QUERIES["op6_warc_archives"] = op6_warc_archives
+ORACLE["op6_warc_archives"] = warc.ORACLE
 QUERIES["op8_source_mixing"] = op8_source_mixing
 ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
