@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import ALNUM, LOWER, Spans, chunks, room, runs_of, strings, words
+from souk.llm.rawtext import ALNUM, LOWER, Lookup, Spans, chunks, room, runs_of, strings, words
 
 BLOCK = 200_000
 
@@ -49,23 +49,6 @@ class _Block:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-class _Lookup:
-    """Places of hashes in a sorted list; a small table turns most others away first."""
-
-    def __init__(self, values: np.ndarray, bits: int = 20):
-        self.values, self.shift = values, np.uint64(64 - bits)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[values >> self.shift] = True
-
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the known hashes, and their places in the list."""
-        found = np.flatnonzero(self.maybe[hashes >> self.shift])
-        at = np.searchsorted(self.values, hashes[found])
-        at[at == len(self.values)] = 0
-        same = self.values[at] == hashes[found] if len(self.values) else np.zeros(0, bool)
-        return found[same], at[same]
-
-
 def _tokens(data: np.ndarray, offsets: np.ndarray):
     starts, ends, bounds = words(data, offsets, ALNUM)
     return starts, ends, bounds, Spans(data, fold=LOWER)(starts, ends)
@@ -103,7 +86,7 @@ def _block(rows: pa.Table, width: int) -> _Block:
 
 def _count(text: str, by_width: dict[int, np.ndarray]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = {w: _Lookup(v) for w, v in by_width.items()}
+        look = {w: Lookup(v) for w, v in by_width.items()}
         seen = {w: np.zeros(len(v), np.int64) for w, v in by_width.items()}
         for _, data, offsets in chunks(batches, text):
             _, _, bounds, hashes = _tokens(data, offsets)
@@ -123,7 +106,7 @@ def _match(key: str, text: str, block: _Block, prefixes: dict[int, tuple[np.ndar
     """prefixes: by words, the sorted hashes, where each one's entries begin, and their windows and places."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = {w: _Lookup(p[0]) for w, p in prefixes.items()}
+        look = {w: Lookup(p[0]) for w, p in prefixes.items()}
         for batch, data, offsets in chunks(batches, text):
             starts, ends, bounds, hashes = _tokens(data, offsets)
             left, texts = room(bounds, len(hashes)), len(offsets) - 1

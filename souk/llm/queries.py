@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import mixing, tokens, warc
+from souk.llm import language, mixing, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.store import fresh
 
@@ -32,6 +32,21 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learnt from documents that are not held out, about 400 for each language."""
+    return language.learn(docs, language.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), train=~held_out())
+
+
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language.predict(docs, language_model(docs))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), path, byte_bpe())
@@ -56,6 +71,7 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op3_token_orc"] = op3_token_orc
 QUERIES["op6_warc_archives"] = op6_warc_archives
 ORACLE["op6_warc_archives"] = warc.ORACLE
