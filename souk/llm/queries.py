@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, mixing, tokens, warc
+from souk.llm import language, mixing, quality, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.store import fresh
 
@@ -71,10 +71,21 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def trusted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents labelled as good and not toxic."""
+    good = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text").join(good, "doc_id", "left_semi")
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), trusted(spark, folder))
+
+
 QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op3_token_orc"] = op3_token_orc
 QUERIES["op6_warc_archives"] = op6_warc_archives
 ORACLE["op6_warc_archives"] = warc.ORACLE
 QUERIES["op8_source_mixing"] = op8_source_mixing
 ORACLE["op8_source_mixing"] = mixing.ORACLE
+QUERIES["op9_quality_rules"] = op9_quality_rules
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
