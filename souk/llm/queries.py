@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from souk.llm import language, mixing, quality, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
+from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,10 @@ def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -85,6 +90,7 @@ QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op3_token_orc"] = op3_token_orc
 QUERIES["op6_warc_archives"] = op6_warc_archives
 ORACLE["op6_warc_archives"] = warc.ORACLE
+QUERIES["op7_ngram_jaccard_join"] = op7_ngram_jaccard_join
 QUERIES["op8_source_mixing"] = op8_source_mixing
 ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op9_quality_rules"] = op9_quality_rules
