@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, mixing, quality, substrings, tokens, warc
+from souk.llm import language, mixing, quality, substrings, suffixes, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
@@ -59,6 +59,11 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh(spark, "warc")
     warc.write_warc(table(spark, folder, "pages"), path)
@@ -94,6 +99,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op3_token_orc"] = op3_token_orc
 QUERIES["op4_substring_dedup"] = op4_substring_dedup
+QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
 QUERIES["op6_warc_archives"] = op6_warc_archives
 ORACLE["op6_warc_archives"] = warc.ORACLE
 QUERIES["op7_ngram_jaccard_join"] = op7_ngram_jaccard_join
