@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, mixing, quality, substrings, suffixes, tokens, warc
+from souk.llm import language, lines, mixing, quality, substrings, suffixes, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
@@ -48,6 +48,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = lines.without_similar_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), path, byte_bpe())
@@ -97,6 +102,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_language_id"] = op1_language_id
+QUERIES["op2_line_dedup"] = op2_line_dedup
 QUERIES["op3_token_orc"] = op3_token_orc
 QUERIES["op4_substring_dedup"] = op4_substring_dedup
 QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
