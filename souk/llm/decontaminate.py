@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from souk.llm.rawtext import ALNUM, LOWER, Lookup, Spans, chunks, room, runs_of, strings, words
+from souk.llm.store import stored
 
 BLOCK = 200_000
 
@@ -150,27 +151,27 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(edge, np.add(spans[::2], spans[1::2]).astype(np.int64), -1)
             hit.append(int((np.cumsum(edge) > 0).sum()) if spans else 0)
             names.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(names), batch.column("items"), batch.column("spans")], ["key", "n_words", "n_hit", "items_sha256", "items", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(names), batch.column("items"), batch.column("spans"), batch.column("_same")], ["key", "n_words", "n_hit", "items_sha256", "items", "spans", "same"])
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """One row per document: key, n_words, n_hit (words inside an occurring window), n_items,
     items_sha256 (names sorted as strings, comma-joined), contaminated, items, spans (first word and
-    words of each hit, in turn).
+    words of each hit, in turn), same (a hash of the text).
 
     Null and empty texts have no words and no hits. A null item id is named "null"; an item without
     words is no window. Repeated rows each get their own result row; a null key is kept. An empty
     benchmark hits nothing. Other columns of both tables are not read.
     """
     kind = docs.schema[key].dataType
-    own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("_same", F.xxhash64(F.coalesce("text", F.lit(""))))
     windows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(_windows("item", "text", width), "item string, window binary").distinct()
-    windows = windows.checkpoint()
+    windows = stored(windows)
     blocks = max(1, -(-windows.count() // block))
     parts = []
     for k in range(blocks):
         rows = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == k)
-        parts.append(_one_block(own, _block(rows.toArrow(), width), shingle, kind, keyed=blocks > 1))
+        parts.append(_one_block(own, _block(rows.toArrow(), width), shingle, kind))
     if blocks == 1:
         whole = parts[0]
     else:  # each block has one row per document row; equal rows are told apart by their number only
@@ -179,11 +180,21 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
             whole = whole.unionByName(more)
         whole = whole.groupBy("key", "_same").agg(F.count(F.lit(1)).alias("rows"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         whole = whole.withColumn("row", F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int")))).select("key", "_same", "n_words", "spans", "items")
-    out = whole.mapInArrow(_digest, f"key {kind.simpleString()}, n_words bigint, n_hit bigint, items_sha256 string, items array<string>, spans array<bigint>")
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+    out = whole.mapInArrow(_digest, f"key {kind.simpleString()}, n_words bigint, n_hit bigint, items_sha256 string, items array<string>, spans array<bigint>, same bigint")
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans", "same")
 
 
-def _one_block(own: DataFrame, block: _Block, shingle: int, kind, keyed: bool) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All columns of the documents that no benchmark window occurs in."""
+    hit = benchmark_hits(docs, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("_hit_key"), F.col("same").alias("_hit_same")).distinct()
+    hit = stored(hit)
+    few = F.broadcast(hit) if hit.count() <= BLOCK else hit
+    own = docs.withColumn("_hit_text", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = own.join(few, F.col(key).eqNullSafe(F.col("_hit_key")) & (F.col("_hit_text") == F.col("_hit_same")), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _one_block(own: DataFrame, block: _Block, shingle: int, kind) -> DataFrame:
     by_width: dict[int, np.ndarray] = {}
     prefixes = {}
     if len(block.sizes):
@@ -200,7 +211,6 @@ def _one_block(own: DataFrame, block: _Block, shingle: int, kind, keyed: bool) -
             of = of[np.argsort(hashes[of], kind="stable")]
             values, first = np.unique(hashes[of], return_index=True)
             prefixes[w] = (values, np.append(first, len(of)), window[of], place[of])
-    same = F.xxhash64("text") if keyed else F.lit(0).cast("bigint")
     schema = f"key {kind.simpleString()}, _same bigint, n_words bigint, spans array<bigint>, items array<string>"
     arrow = to_arrow_schema(own.sparkSession.createDataFrame([], schema).schema)
-    return own.withColumn("_same", same).mapInArrow(_match("key", "text", block, prefixes, arrow), schema)
+    return own.mapInArrow(_match("key", "text", block, prefixes, arrow), schema)

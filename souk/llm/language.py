@@ -230,3 +230,15 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 a = b
 
     return own.mapInArrow(run, schema).withColumnRenamed("_key", key)
+
+
+def accepted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+    """All columns of the documents whose language is found with a score of `least` or more.
+
+    A null language becomes the predicted one. Texts without letters, null ones too, go.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    out = predict(rows.withColumn("_id", F.col(names[key])), model, "_id", names[text], tuple(names.values()))
+    out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.select(*[(F.coalesce(n, "lang_pred") if c == lang else F.col(n)).alias(c) for c, n in names.items()])
