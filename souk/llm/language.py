@@ -127,7 +127,7 @@ def fit(counts: dict[str, Counter], pieces: np.ndarray, rounds: int = 3, smooth:
     """counts: of each language's words."""
     languages, known = sorted(counts), Lookup(pieces)
     words = sorted({w for c in counts.values() for w in c if len(w.encode("utf-8", "surrogatepass")) < LONGEST})
-    weights = np.array([[counts[k][w] for k in languages] for w in words], float).reshape(-1, len(languages))
+    weights = np.array([[counts[k][w] for k in languages] for w in words], float).reshape(len(words), len(languages))
 
     def chances(uses: np.ndarray) -> np.ndarray:
         p = (uses[:-1] + smooth) / (uses[:-1].sum(axis=0) + smooth * len(pieces))
