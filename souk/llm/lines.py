@@ -94,7 +94,7 @@ def line_groups(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = met.where((F.col("node") > F.col("hub")) & near("sim", "hub_sim")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     linked = _verified(stars, nodes, own)
 
-    label = components(linked)
+    label = stored(components(linked))
     met = met.select("block", "node", "sim").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = stored(met)
     mixed = met.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
@@ -104,8 +104,8 @@ def line_groups(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     across = across.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     tried = stars.distinct().select("a", "b")
     more = stored(across.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        label = components(linked.unionByName(_verified(more, nodes, own)))
+    if more.take(1):
+        label = stored(components(linked.unionByName(_verified(more, nodes, own))))
     return nodes.drop("sim"), label
 
 

@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     edges = banded.join(hubs, ["band", "value"]).where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    parts = components(edges).withColumnRenamed("root", "part")
+    parts = stored(components(edges).withColumnRenamed("root", "part"))
 
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     total = parts.count()
