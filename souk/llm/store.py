@@ -30,9 +30,15 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once: later uses read them and nothing before runs again."""
+    """The same rows, written once: later uses read them and nothing before runs again.
+
+    The driver then collects its garbage: Spark deletes the shuffle files of what is written, which
+    would else stay on disk until the driver happens to do so.
+    """
     shared(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def slices(spark: SparkSession) -> int:
