@@ -25,11 +25,11 @@ from souk.llm.store import stored
 BITS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FEW = 100_000  # rows of a table that may be sent to every task; larger ones are shuffled
-NEAR = 24  # edits that are tried first
+STEPS = (24, 200, 1600)  # edits that are tried first
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"(?: [^\p{L}\p{N}]|[^\p{L}\p{N} ])[^\p{L}\p{N}]*", " "))  # but for single spaces
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -67,11 +67,12 @@ def _keys(sim: Column) -> Column:
 
 def _similar(a: Column, b: Column) -> Column:
     """Edits are a fifth of the longer line's characters at most; few edits are tried first, which is quicker."""
-    longest = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longest / 5).cast("int")
+    most = F.floor(F.greatest(F.length(a), F.length(b)) / 5).cast("int")
     edits = lambda n: F.call_function("levenshtein", a, b, n) >= 0
-    fits = F.abs(F.length(a) - F.length(b)) <= most
-    return fits & F.when(edits(F.least(most, F.lit(NEAR))), True).when(most > NEAR, edits(most)).otherwise(False)
+    found = edits(most)
+    for n in reversed(STEPS):
+        found = F.when(most <= n, edits(most)).when(edits(F.lit(n)), True).otherwise(found)
+    return (F.abs(F.length(a) - F.length(b)) <= most) & found
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
