@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.rawtext import NOT_SPACE, Spans, chunks, room, runs_of, words
+from souk.llm.spread import PACK, PACK_DDL, merged, packed
 from souk.llm.store import stored
 
 CHUNK = 4_000_000  # bytes of text that a task takes at once
 BUCKET = 16_000_000  # bytes of text for each bucket
-FEW = 2_000_000  # numbers in a table that may be sent to every task; larger ones are shuffled
 LAST = np.iinfo(np.int64).max  # stands for a null key
 
 _PACK = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), *((c, pa.binary()) for c in ("keys", "sames", "counts", "hashes", "at", "to"))])
@@ -112,16 +112,6 @@ def _runs(marked: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray
     return at[begin], at[np.append(begin[1:], len(at)) - 1] + width
 
 
-_FOUND = "key bigint, same bigint, local boolean, at array<int>, to array<int>"
-_FOUND_ARROW = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("local", pa.bool_()), ("at", pa.list_(pa.int32())), ("to", pa.list_(pa.int32()))])
-
-
-def _lists(keys, sames, counts, at, to, local: bool) -> pa.RecordBatch:
-    bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    several = lambda x: pa.nulls(len(keys), pa.list_(pa.int32())) if x is None else pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()) if sames is None else pa.array(sames), pa.array(np.full(len(keys), local)), several(at), several(to)], schema=_FOUND_ARROW)
-
-
 def _gathered(rows: list[dict], kind):
     """Documents of all rows, and for each place its document, hash and word."""
     parts = [_unpacked(r, kind) for r in rows]
@@ -131,10 +121,13 @@ def _gathered(rows: list[dict], kind):
     return keys, sames, owner, np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
 
 
-def _hits(block: int):
+def _hits(block: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [_lists(p[0], p[1], p[2], p[4], p[5], True) for p in (_unpacked(r, np.uint32) for r in rows if r["local"])]
+        rows, out = table.to_pylist(), []
+        for r in rows:
+            if r["local"]:
+                keys, sames, counts, _, at, to = _unpacked(r, np.uint32)
+                out += packed(shards, "span", keys, sames, np.repeat(np.arange(len(keys)), counts), at, to)
         rows = [r for r in rows if not r["local"]]
         if rows:
             keys, _, owner, hashes, at = _gathered(rows, np.uint32)
@@ -149,10 +142,9 @@ def _hits(block: int):
             np.maximum.at(high, place, key[met])
             hit = (low[place] < key[met]) | ((at[met] % block == 0) & (high[place] > key[met]))
             met = met[hit]
-            met = met[np.argsort(key[met], kind="stable")]
-            docs, counts = np.unique(key[met], return_counts=True)
-            out.append(_lists(docs, None, counts, at[met], None, False))
-        return pa.Table.from_batches(out, _FOUND_ARROW)
+            docs, whose = np.unique(key[met], return_inverse=True)
+            out += packed(shards, "hit", docs, None, whose, at[met])
+        return pa.Table.from_pylist(out, PACK)
 
     return run
 
@@ -188,15 +180,17 @@ def _candidates(width: int, block: int, buckets: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    keys, sames, owner, hashes, at = _gathered(table.to_pylist(), np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    head = np.ones(len(order), bool)
-    head[1:] = hashes[order][1:] != hashes[order][:-1]
-    earliest = np.minimum.reduceat(keys[owner[order]], np.flatnonzero(head))[np.cumsum(head) - 1]
-    later = np.sort(order[keys[owner[order]] > earliest])
-    docs, counts = np.unique(owner[later], return_counts=True)
-    return pa.Table.from_batches([_lists(keys[docs], sames[docs], counts, at[later], None, False)], _FOUND_ARROW)
+def _repeats(width: int, shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, sames, owner, hashes, at = _gathered(table.to_pylist(), np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        head = np.ones(len(order), bool)
+        head[1:] = hashes[order][1:] != hashes[order][:-1]
+        earliest = np.minimum.reduceat(keys[owner[order]], np.flatnonzero(head))[np.cumsum(head) - 1]
+        later = order[keys[owner[order]] > earliest]
+        return pa.Table.from_pylist(packed(shards, "span", keys, sames, owner[later], at[later], at[later] + width), PACK)
+
+    return run
 
 
 def _cut(width: int, schema: pa.Schema):
@@ -230,12 +224,6 @@ def _cut(width: int, schema: pa.Schema):
     return run
 
 
-def small(df: DataFrame, lists: str) -> DataFrame:
-    """df for a join: broadcast if its lists hold few numbers in all, as counted, else left to a shuffle."""
-    n = df.agg(F.coalesce(F.sum(F.size(lists) + 4), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= FEW else df
-
-
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, block: int | None = None) -> DataFrame:
     """One row per document: key, n_words, n_removed, kept (the words left, joined by one space).
 
@@ -252,16 +240,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     total = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET))
 
-    found = stored(own.mapInArrow(_probes(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_hits(block), _FOUND))
-    hits = stored(found.where("not local").groupBy("key").agg(F.flatten(F.collect_list("at")).alias("hits")))
+    found = stored(merged(own.mapInArrow(_probes(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_hits(block, buckets), PACK_DDL)))
+    hits = found.where("kind = 'hit'").select(F.col("key").alias("_key"), F.col("at").alias("hits"))
     rank = F.coalesce(F.col("key"), F.lit(int(LAST)))
-    near = own.join(small(hits.withColumnRenamed("key", "_key"), "hits"), rank == F.col("_key")).drop("_key")
-    later = near.mapInArrow(_candidates(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_repeats, _FOUND)
-    spans = later.withColumn("to", F.transform("at", lambda x: x + width)).unionByName(found.where("local"))
+    near = own.join(hits, rank == F.col("_key")).drop("_key")
+    later = merged(near.mapInArrow(_candidates(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_repeats(width, buckets), PACK_DDL))
+    spans = later.unionByName(found.where("kind = 'span'"))
     spans = stored(spans.groupBy(F.col("key").alias("_key"), F.col("same").alias("_same")).agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("to")).alias("to")))
 
-    none = F.array().cast("array<int>")
-    cut = own.join(small(spans, "at"), (rank == F.col("_key")) & (F.col("same") == F.col("_same")), "left")
+    none = F.array().cast("array<bigint>")
+    cut = own.join(spans, (rank == F.col("_key")) & (F.col("same") == F.col("_same")), "left")
     cut = cut.select("key", "text", F.coalesce("at", none).alias("at"), F.coalesce("to", none).alias("to"))
     schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
     return cut.mapInArrow(_cut(width, schema), "key bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)
