@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.rawtext import Spans, chunks
+from souk.llm.spread import PACK, PACK_DDL, merged, packed
 from souk.llm.store import stored
 
 GRAM = 32
-CHUNK = 3_000_000  # bytes of text that a task takes at once
+CHUNK = 1_000_000  # bytes of text that a task takes at once
 BUCKET = 16_000_000  # bytes of text for each bucket
-FEW = 2_000_000  # numbers in a table that may be sent to every task; larger ones are shuffled
+FEW = 100_000  # hot hashes that may be sent to every task; more are shuffled
 LIMIT = 2_000  # places of a hash whose segments meet in one task
 SORTED = 100_000  # windows sorted together, or one group
 
@@ -149,10 +150,6 @@ def _least(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
 
 _PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), *((c, pa.binary()) for c in ("keys", "sames", "counts", "values", "n", "at", "to", "bytes"))])
 _PACK_DDL = "bucket int, kind string, keys binary, sames binary, counts binary, values binary, n binary, at binary, to binary, bytes binary"
-_FOUND = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("kind", pa.string()), ("at", pa.list_(pa.int64())), ("to", pa.list_(pa.int64()))])
-_FOUND_DDL = "key bigint, same bigint, kind string, at array<bigint>, to array<bigint>"
-
-
 class _Docs:
     """Keys (with nulls) and text hashes of a batch."""
 
@@ -217,36 +214,30 @@ def _rows(rows: list[dict]):
     return get("keys", np.int64), get("sames", np.int64), owner, get("values", np.uint64), get("n", np.uint32), get("at", np.int64)
 
 
-def _found(kind: str, keys, sames, owner, at, to=None) -> pa.RecordBatch:
-    order = np.argsort(owner, kind="stable")
-    docs, counts = np.unique(owner, return_counts=True)
-    bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    several = lambda x: pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(np.int64, copy=False)))
-    null = pa.array(keys[docs], mask=keys[docs] == NULL)
-    return pa.RecordBatch.from_arrays([null, pa.array(sames[docs]), pa.array([kind] * len(docs), pa.string()), several(at), pa.nulls(len(docs), pa.list_(pa.int64())) if to is None else several(to)], schema=_FOUND)
-
-
-def _twice(rows: list[dict], kind: str, limit: int | None = None) -> list[pa.RecordBatch]:
-    """Replies to probes whose value occurs again; values in more than `limit` places are told as hot."""
+def _twice(rows: list[dict], limit: int | None = None):
+    """Of the probes whose value occurs again: keys, text hashes, and for each the document, value and
+    place; and the values in more than `limit` places."""
     keys, sames, owner, values, n, at = _rows(rows)
     _, back = np.unique(values, return_inverse=True)
     total = np.bincount(back, n)[back]
     ask = np.flatnonzero((total > 1) & (n == 1))
-    out = [_found(kind, keys, sames, owner[ask], at[ask] if len(at) else values[ask].view(np.int64))]
-    if limit is not None:
-        hot = np.unique(values[total > limit]).view(np.int64)
-        out.append(pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(hot), pa.array(["hot"] * len(hot), pa.string()), *[pa.nulls(len(hot), pa.list_(pa.int64()))] * 2], schema=_FOUND))
-    return out
+    hot = np.unique(values[total > limit]) if limit is not None else values[:0]
+    return keys, sames, owner[ask], values[ask], at[ask] if len(at) else at, hot
 
 
-def _met(limit: int):
+def _met(limit: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        local, probes = ([r for r in rows if r["kind"] == k] for k in ("local", "probe"))
-        out = [_found("value", *(x[0], x[1], x[2], x[5])) for x in ([_rows(local)] if local else [])]
+        rows, out = table.to_pylist(), []
+        for r in rows:
+            if r["kind"] == "local":
+                keys, sames, owner, _, _, at = _rows([r])
+                out += packed(shards, "value", keys, sames, owner, at)
+        probes = [r for r in rows if r["kind"] == "probe"]
         if probes:
-            out += _twice(probes, "value", limit)
-        return pa.Table.from_batches(out, _FOUND)
+            keys, sames, owner, values, _, hot = _twice(probes, limit)
+            out += packed(shards, "value", keys, sames, owner, values.view(np.int64))
+            out += packed(shards, "hot", hot.view(np.int64), None, np.arange(len(hot)), np.zeros(len(hot), np.int64))
+        return pa.Table.from_pylist(out, PACK)
 
     return run
 
@@ -311,18 +302,17 @@ def _among(values: np.ndarray, owner: np.ndarray, lists: pa.ListArray) -> np.nda
     return np.isin(pair(values, owner), pair(known, whose))
 
 
-def _verdict(length: int):
+def _verdict(length: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         kinds = {k: [r for r in rows if r["kind"] == k] for k in ("local", "window", "segment")}
         out = []
         for r in kinds["local"]:
             keys, sames, owner, _, _, at = _rows([r])
-            out.append(_found("span", keys, sames, owner, at, np.frombuffer(r["to"], np.int64)))
+            out += packed(shards, "span", keys, sames, owner, at, np.frombuffer(r["to"], np.int64))
         if kinds["window"]:
-            found = _twice(kinds["window"], "span")[0]
-            ends = pa.ListArray.from_arrays(found.column("at").offsets, pc.add(found.column("at").values, length))
-            out.append(found.set_column(4, _FOUND.field("to"), ends))
+            keys, sames, owner, _, at, _ = _twice(kinds["window"])
+            out += packed(shards, "span", keys, sames, owner, at, at + length)
         if kinds["segment"]:
             keys, sames, owner, values, n, at = _rows(kinds["segment"])
             to = np.concatenate([np.frombuffer(r["to"], np.int64) for r in kinds["segment"]])
@@ -357,8 +347,8 @@ def _verdict(length: int):
                 first.append(found[head] - base[seg] + at[own[seg]])
                 last.append(found[tail] - base[seg] + at[own[seg]] + length)
             if whose:
-                out.append(_found("span", keys, sames, *(np.concatenate(x) for x in (whose, first, last))))
-        return pa.Table.from_batches(out, _FOUND)
+                out += packed(shards, "span", keys, sames, *(np.concatenate(x) for x in (whose, first, last)))
+        return pa.Table.from_pylist(out, PACK)
 
     return run
 
@@ -384,12 +374,6 @@ def _cut(schema: pa.Schema):
     return run
 
 
-def _small(df: DataFrame, *lists: str) -> DataFrame:
-    """df for a join: broadcast if its lists hold few numbers in all, as counted, else left to a shuffle."""
-    n = df.agg(F.coalesce(F.sum(sum((F.size(c) for c in lists), F.lit(4))), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= FEW else df
-
-
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, limit: int = LIMIT) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
@@ -403,16 +387,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     buckets = max(1, -(-total // BUCKET))
     none = F.array().cast("array<bigint>")
 
-    met = stored(own.mapInArrow(_anchors(length, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_met(limit), _FOUND_DDL))
-    hot = met.where("kind = 'hot'").select(F.col("same").alias("value"), F.lit(True).alias("hot"))
+    met = stored(merged(own.mapInArrow(_anchors(length, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_met(limit, buckets), PACK_DDL)))
+    hot = met.where("kind = 'hot'").select(F.col("key").alias("value"), F.lit(True).alias("hot"))
     asked = met.where("kind = 'value'").select("key", "same", F.explode("at").alias("value"))
     asked = asked.join(F.broadcast(hot) if hot.limit(FEW + 1).count() <= FEW else hot, "value", "left")
     lists = [F.collect_set(F.when(c, F.col("value"))).alias(name) for name, c in (("cold", F.col("hot").isNull()), ("hot", F.col("hot").isNotNull()))]
-    asked = stored(asked.groupBy(F.col("key").alias("_key"), F.col("same").alias("_same")).agg(*lists))
-    mine = F.col("key").eqNullSafe(F.col("_key")) & (F.col("same") == F.col("_same"))
-    near = own.join(_small(asked, "cold", "hot"), mine).drop("_key", "_same")
-    spans = near.mapInArrow(_segments(length, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_verdict(length), _FOUND_DDL)
-    spans = stored(spans.groupBy(F.col("key").alias("_key"), F.col("same").alias("_same")).agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("to")).alias("to")))
-    cut = own.join(_small(spans, "at"), mine, "left").select("key", "text", F.coalesce("at", none).alias("at"), F.coalesce("to", none).alias("to"))
+    asked = asked.groupBy(F.col("key").alias("_key"), F.col("same").alias("_same")).agg(*lists)
+    mine = (F.coalesce("key", F.lit(NULL)) == F.col("_key")) & (F.col("same") == F.col("_same"))
+    near = own.join(asked, mine).drop("_key", "_same")
+    spans = near.mapInArrow(_segments(length, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_verdict(length, buckets), PACK_DDL)
+    spans = stored(merged(spans).select(F.col("key").alias("_key"), F.col("same").alias("_same"), "at", "to"))
+    cut = own.join(spans, mine, "left").select("key", "text", F.coalesce("at", none).alias("at"), F.coalesce("to", none).alias("to"))
     schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     return cut.mapInArrow(_cut(schema), "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("key", key)
