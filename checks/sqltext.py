@@ -29,8 +29,9 @@ def R(x: str, n: int) -> str:
 
 
 def E(x: str) -> str:
-    """Exact sum of amounts with up to four decimals."""
-    return f"(CAST(sum(CAST(round(({x}) * 10000) AS BIGINT)) AS DOUBLE) / 10000)"
+    """Exact sum of amounts with up to eight decimals."""
+    amount = f"CAST(CAST(CAST(({x}) AS DOUBLE) AS VARCHAR) AS DECIMAL(28,8))"
+    return f"CAST(CAST(sum({amount}) AS VARCHAR) AS DOUBLE)"
 
 
 def A(x: str) -> str:

@@ -2,8 +2,8 @@
 
 A sum of doubles changes in its last bits with partitioning, task retries and
 file order, and a value next to a rule threshold can flip a label between two
-runs.  Amounts are therefore added as whole units of 10^-places in 64 bit
-integers: exact, map-side combinable, and cheaper than wide decimals.
+runs.  Amounts are therefore added as decimals, which are exact; a total may
+have 30 digits before the point.  ``places`` are the decimals that count.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLACES = 4
+PLACES = 8
 
 
 def units(amount: Column, places: int = PLACES) -> Column:
-    return F.rint(amount * F.lit(float(10**places))).cast("long")
+    """The amount as a decimal of so many places, for sums of up to 38 digits."""
+    return amount.cast(f"decimal(28,{places})")
 
 
 def exact_sum(amount: Column, places: int = PLACES) -> Column:
-    return F.sum(units(amount, places)) / F.lit(float(10**places))
+    return F.sum(units(amount, places)).cast("double")
 
 
 def exact_avg(amount: Column, places: int = PLACES) -> Column:
@@ -28,5 +29,5 @@ def exact_avg(amount: Column, places: int = PLACES) -> Column:
 
 
 def weighted_avg(amount: Column, weight: Column, places: int = PLACES) -> Column:
-    total = F.sum(units(amount, places) * weight) / F.lit(float(10**places))
-    return total / F.nullif(F.sum(F.when(amount.isNotNull(), weight)), F.lit(0))
+    parts = amount.cast(f"decimal(23,{places})") * weight.cast("decimal(14,0)")
+    return F.sum(parts).cast("double") / F.nullif(F.sum(F.when(amount.isNotNull(), weight)), F.lit(0))

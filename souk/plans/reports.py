@@ -550,7 +550,7 @@ def order_value_by_persona_and_tier(
     named = sums.join(ai.select("customer_id", "persona"), "customer_id")
     tiers = sellers.select("seller_id", "seller_tier")
     labelled = split_join(named, tiers, "seller_id", spread="customer_id", counted=sold)
-    mean = F.sum("u") / F.lit(10000.0) / F.nullif(F.sum("n"), F.lit(0))
+    mean = F.sum("u").cast("double") / F.nullif(F.sum("n"), F.lit(0))
     return labelled.groupBy("persona", "seller_tier").agg(
         F.sum("n").alias("orders"), F.round(mean, 2).alias("avg_order_value")
     )

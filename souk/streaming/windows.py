@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions.exact import PLACES, exact_sum, units
+from souk.functions.exact import exact_sum, units
 
 
 def timed(events: DataFrame, watermark: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _stored_sessions(events: DataFrame, gap: str) -> DataFrame:
         F.sum(units(c("order_value"))).alias("units"),
     )
     inorder = Window.partitionBy("customer_id").orderBy("first")
-    starts = F.when(c("first") >= F.lag("last").over(inorder) + silence, 1).otherwise(0)
+    starts = F.when(c("first") > F.lag("last").over(inorder) + silence, 1).otherwise(0)
     numbered = buckets.withColumn("start", starts).withColumn(
         "session", F.sum("start").over(inorder)
     )
@@ -79,7 +79,7 @@ def _stored_sessions(events: DataFrame, gap: str) -> DataFrame:
             F.min("first").alias("window_start"),
             (F.max("last") + silence).alias("window_end"),
             F.sum("orders").alias("orders"),
-            (F.sum("units") / F.lit(float(10**PLACES))).alias("value"),
+            F.sum("units").cast("double").alias("value"),
         )
         .select("window_start", "window_end", "customer_id", "orders", "value")
     )
