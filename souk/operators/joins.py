@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split.  At most rows / HOT_ROWS keys can
-# be hot, which bounds the broadcast list of hot keys.
+# A key with more rows than this is split into sub-keys of about so many rows.
 HOT_ROWS = 1_000_000
-SPLITS = 64
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows (column-pruned, map-side combined count)."""
+    """Keys with more than ``hot_rows`` rows and ``_splits``, their sub-keys (map-side combined count)."""
     return (
         facts.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .select(key)
+        .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_splits"))
     )
 
 
@@ -30,27 +28,26 @@ def split_join(
     how: str = "inner",
     counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    splits: int = SPLITS,
 ) -> DataFrame:
     """Join many ``facts`` to ``dim`` (unique on ``key``), splitting hot keys.
 
-    Rows of a hot key, and rows without key, are spread over ``splits``
-    sub-keys by a hash of the ``spread`` column; the dim row of a hot key is
-    repeated as often.  All other rows use sub-key 0.  Every row takes part,
+    Rows of a hot key are spread over sub-keys, one for each ``hot_rows`` rows,
+    by a hash of the ``spread`` column; the dim row of a hot key is repeated as
+    often.  Rows without key are spread by the hash itself.  All other rows use
+    sub-key 0.  Every row takes part,
     so the result equals the plain join.  ``how`` is inner, left or left_semi.
 
     ``counted`` names a cheaper frame with at least the key rows of ``facts``
     (say, a stored table ``facts`` was joined from) to find the hot keys in.
     """
     found = hot_keys(facts if counted is None else counted, key, hot_rows)
-    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
-    scattered = F.col("_hot") | F.col(key).isNull()
-    sub = F.when(scattered, F.pmod(F.xxhash64(spread), F.lit(splits))).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(
-        F.array(F.lit(0))
+    hash_ = F.xxhash64(spread)
+    sub = F.when(F.col(key).isNull(), hash_).otherwise(
+        F.coalesce(F.pmod(hash_, F.col("_splits")), F.lit(0))
     )
-    left = facts.join(hot, key, "left").withColumn("_sub", sub.cast("int")).drop("_hot")
-    right = dim.join(hot, key, "left").withColumn("_sub", F.explode(copies)).drop("_hot")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1)).cast("bigint") - 1)
+    left = facts.join(found, key, "left").withColumn("_sub", sub.cast("bigint")).drop("_splits")
+    right = dim.join(found, key, "left").withColumn("_sub", F.explode(copies)).drop("_splits")
     return left.join(right, [key, "_sub"], how).drop("_sub")
 
 

@@ -25,7 +25,7 @@ def skewed(spark, n=900):
 def test_split_join_equals_plain_join(spark, how, hot_rows):
     _, facts = skewed(spark)
     dim = spark.range(0, 30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
-    got = joins.split_join(facts, dim, "key", "id", how, hot_rows=hot_rows, splits=8)
+    got = joins.split_join(facts, dim, "key", "id", how, hot_rows=hot_rows)
     want = facts.join(dim, "key", how)
     assert as_set(got.select(*sorted(got.columns))) == as_set(want.select(*sorted(want.columns)))
 
@@ -40,7 +40,7 @@ def test_hot_keys_are_those_above_the_limit(spark):
 def test_hot_rows_reach_many_sub_keys(spark):
     _, facts = skewed(spark)
     dim = spark.range(0, 50).select(F.col("id").alias("key"))
-    text = plan_text(joins.split_join(facts, dim, "key", "id", hot_rows=10, splits=8))
+    text = plan_text(joins.split_join(facts, dim, "key", "id", hot_rows=10))
     assert "_sub" in text
 
 
