@@ -7,7 +7,7 @@ from souk.functions.text import WORD_SCORES
 from souk.plans import enrichment, forecast_customer, forecast_seller, gold_customer, gold_seller
 from souk.plans import inventory, overlay, platforms, rfm
 from souk.sources import testdata
-from souk.sources.testdata import AS_OF, LEAD_BASE, NOW
+from souk.sources.testdata import AS_OF, NOW
 
 AS_OF_SQL = f"DATE '{AS_OF}'"
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -25,9 +25,10 @@ PARTS["m_sellers"] = mapped_select(
 )
 PARTS["m_orders"] = mapped_select(
     testdata.orders(),
-    "orders LEFT JOIN (SELECT l_orderkey, min(l_linenumber::BIGINT * "
-    f"{LEAD_BASE} + l_partkey) % {LEAD_BASE} AS lead_part FROM lineitem GROUP BY l_orderkey) "
-    "ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = lead_part",
+    "(SELECT *, o_orderkey * 10007 + coalesce(line, 0) AS order_no FROM orders LEFT JOIN (SELECT *, "
+    "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, "
+    "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line FROM lineitem) "
+    "ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey)",
 )
 PARTS["m_marketing"] = mapped_select(testdata.marketing(), "events")
 PARTS["m_events"] = mapped_select(
