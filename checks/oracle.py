@@ -453,12 +453,14 @@ O["str05_stream_customer_live"] = O["str05_customer_live"]
 O["str06_seller_live"] = texted("m_sl", moments=LIVE_MOMENTS)
 O["str06_stream_seller_live"] = O["str06_seller_live"]
 O["str07_run_when_data_arrives"] = "SELECT 0 AS run, count(*) AS events FROM m_events"
+O["str08_standing_query"] = "SELECT count(*) AS events FROM m_events"
 O["str09_has_new_data"] = (
     "SELECT max(event_id) AS landed, max(event_id) FILTER (WHERE NOT is_returned) AS merged, "
-    "max(event_id) > max(event_id) FILTER (WHERE NOT is_returned) AS has_new_data FROM m_events"
+    "coalesce(bool_or(is_returned), FALSE) AS has_new_data FROM m_events"
 )
 O["str10_merged_orders"] = texted("m_merged", ["order_date"], drop=["event_id", "seller_id"])
 O["str10_stream_merged_orders"] = O["str10_merged_orders"]
+O["str11_writeback_with_a_new_checkpoint"] = O["str10_merged_orders"]
 O["str11_merge_ledger"] = "SELECT event_id FROM m_events"
 O["str12_merged_mapping"] = (
     "SELECT customer_id, order_id, product_id, category, seller_id FROM m_merged"
@@ -507,7 +509,7 @@ O["str18_session_activity"] = (
     f"SELECT {moment('min(event_timestamp)')} AS window_start, "
     f"{moment('max(event_timestamp) + INTERVAL 6 HOUR')} AS window_end, customer_id, count(*) AS "
     f"orders, {E('order_value')} AS value FROM (SELECT *, sum(fresh) OVER (PARTITION BY customer_id "
-    "ORDER BY event_timestamp, event_id) AS session FROM (SELECT *, CASE WHEN event_timestamp >= "
+    "ORDER BY event_timestamp, event_id) AS session FROM (SELECT *, CASE WHEN event_timestamp > "
     "lag(event_timestamp) OVER (PARTITION BY customer_id ORDER BY event_timestamp, event_id) + "
     "INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM m_events)) GROUP BY customer_id, session"
 )

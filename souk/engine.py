@@ -17,7 +17,8 @@ from souk.plans import (
     rfm,
 )
 from souk.sources.schemas import BASE_TABLES
-from souk.sources.store import Store
+from souk.operators.joins import not_in
+from souk.sources.store import Store, conform
 from souk.sources.testdata import AS_OF, NOW, TestData
 
 # Order of a full refresh: every mart after the marts it reads.
@@ -75,15 +76,18 @@ class Engine:
 
     def absorb(self, merged_orders: DataFrame, merged_mapping: DataFrame) -> dict[str, DataFrame]:
         """Add written-back orders to the base tables, then refresh."""
-        orders = self.table("orders").unionByName(merged_orders)
-        mapping = self.table("customer_seller_mapping").unionByName(merged_mapping)
-        self.replace_base("orders", orders, cluster_by="customer_id")
-        self.replace_base("customer_seller_mapping", mapping)
+        self.add_orders(merged_orders, merged_mapping)
         return self.refresh()
 
-    def replace_base(self, name: str, df: DataFrame, cluster_by: str | None = None) -> None:
-        """Swap a base table, for example after a merge of live events."""
-        self._ready[name] = self.store.replace(name, df, cluster_by)
+    def add_orders(self, merged_orders: DataFrame, merged_mapping: DataFrame) -> None:
+        """Append written-back orders and their mapping as a batch; orders already there are left out."""
+        added = {"orders": merged_orders, "customer_seller_mapping": merged_mapping}
+        for name, rows in added.items():
+            schema = BASE_TABLES[name]
+            new = conform(not_in(rows, self.table(name), "order_id"), schema)
+            epoch = max(self.store.epochs(name), default=-1) + 1
+            self.store.append(name, new.sortWithinPartitions("customer_id"), epoch)
+            self._ready[name] = self.store.read(name, schema)
 
     # -- base tables ------------------------------------------------------
     def _customers(self):

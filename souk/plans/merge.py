@@ -40,16 +40,8 @@ def highest_id(orders: DataFrame) -> int:
     return orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("id")).first().id
 
 
-# A batch up to this many events is broadcast against the large tables, which
-# are then only scanned; a larger one is shuffled.
-BATCH_ROWS = 200_000
-
-
-def unmerged(events: DataFrame, ledger: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def unmerged(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Events not yet merged; a redelivered event id counts once."""
-    if events.count() <= batch_rows:
-        ids = F.broadcast(events.select("event_id").distinct())
-        ledger = ledger.join(ids, "event_id", "left_semi")
     return not_in(events.dropDuplicates(["event_id"]), ledger, "event_id")
 
 
@@ -59,7 +51,7 @@ def rejects(fresh: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def numbered_events(
-    fresh: DataFrame, customers: DataFrame, store: Store, name: str, batch_rows: int = BATCH_ROWS
+    fresh: DataFrame, customers: DataFrame, store: Store, name: str
 ) -> DataFrame:
     """Events of known customers with shipping place and their global rank."""
     places = customers.select(
@@ -68,10 +60,7 @@ def numbered_events(
         F.col("state").alias("shipping_state"),
         F.col("pincode").alias("shipping_pincode"),
     )
-    if fresh.count() <= batch_rows:
-        known = places.join(F.broadcast(fresh), "customer_id")
-    else:
-        known = split_join(fresh, places, "customer_id", spread="event_id")
+    known = split_join(fresh, places, "customer_id", spread="event_id")
     order = [Asc("event_timestamp"), Asc("event_id")]
     return global_row_number(known, order, store, name, out="rank")
 
@@ -164,11 +153,12 @@ def merge_epoch(
 
     Orders and mapping are written first and the ledger last, each in the
     batch's own folder.  A batch that fails halfway is simply run again: it
-    ignores its own earlier output and rewrites it.  ``last_base_id`` is the
+    ignores its own earlier output and rewrites it.  Events that any other
+    batch has merged are left out.  ``last_base_id`` is the
     highest id of the base orders, so a batch only looks at merged orders.
     """
-    ledger = store.read_before("realtime_events_merged", epoch, EVENT_LEDGER)
-    earlier = store.read_before("orders_merged", epoch, ORDERS)
+    ledger = store.read_except("realtime_events_merged", epoch, EVENT_LEDGER)
+    earlier = store.read_except("orders_merged", epoch, ORDERS)
     fresh = store.replace(f"_fresh/{epoch}", unmerged(events, ledger))
     last = F.greatest(F.lit(last_base_id), max_id(earlier))
     numbered = numbered_events(fresh, customers, store, f"merge-{epoch}")

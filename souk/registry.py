@@ -429,9 +429,11 @@ def _(e):
 
 @query("job17_refresh_after_writeback")
 def _(e):
-    fresh = Engine(e.spark, _Stored(e), scratch(e), e.as_of, e.now)
-    made = _merged(e)
-    built = fresh.absorb(merge.order_rows(made), merge.mapping_rows(made))
+    """The write-back stream's orders, added twice: the second time none is new."""
+    fresh, written = Engine(e.spark, _Stored(e), scratch(e), e.as_of, e.now), _writeback(e)
+    made = (written.read("orders_merged", schemas.ORDERS), written.read("mapping_merged", schemas.MAPPING))
+    fresh.add_orders(*made)
+    built = fresh.absorb(*made)
     people = built["gold_customer_360"].agg(
         F.count("*").alias("customers"), F.sum("total_orders").alias("orders"),
         exact_sum(c("total_order_value")).alias("order_value"),
@@ -569,6 +571,20 @@ def _(e):
     return store.read("runs").groupBy("run").agg(F.sum("events").alias("events"))
 
 
+@query("str08_standing_query")
+def _(e):
+    """A standing query with an interval, stopped when all files are read."""
+    store = scratch(e)
+    sink = lambda b, epoch: store.append("seen", b.agg(F.count("*").alias("events")), epoch)
+    running = changes.run(changes.event_stream(e.spark, _landing(e)), sink,
+                          store.path("_checkpoints", "s"), every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return store.read("seen").agg(F.sum("events").alias("events"))
+
+
 add("str09_has_new_data", lambda e: changes.has_new_data(
     e.table("realtime_order_events"), e.table("realtime_order_events").filter("NOT is_returned")
     .select("event_id")))
@@ -582,6 +598,15 @@ def _writeback(e) -> Store:
 
 
 add("str10_stream_merged_orders", lambda e: _writeback(e).read("orders_merged", schemas.ORDERS))
+@query("str11_writeback_with_a_new_checkpoint")
+def _(e):
+    """All events are read again after the checkpoint is lost; each is merged once."""
+    store = scratch(e)
+    for name in ("first", "second"):
+        run_writeback(e.spark, _landing(e), store, e.table("orders"), e.table("customers"), checkpoint=name)
+    return store.read("orders_merged", schemas.ORDERS)
+
+
 add("str11_merge_ledger", lambda e: _writeback(e).read("realtime_events_merged", schemas.EVENT_LEDGER))
 add("str12_merged_mapping", lambda e: merge.mapping_rows(_merged(e)))
 add("str13_changed_customers", lambda e: reports.watch_customers(e.table("customer_live")))

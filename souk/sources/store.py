@@ -109,10 +109,33 @@ class Store:
     def epochs(self, name: str) -> list[int]:
         return sorted(int(e[6:]) for e in self._complete(name, "epoch="))
 
+    def batch_number(self, name: str, query: str, epoch: int) -> int:
+        """Number under which a query appends its batch ``epoch`` to a table.
+
+        A query whose checkpoint is new counts on after the batches that other
+        queries appended, so it never overwrites one; a batch that it repeats
+        keeps its number.
+        """
+        for child in self._children("_queries", name):
+            known, _, base = child.partition("=")
+            if known == query:
+                return int(base) + epoch
+        used = [int(c[6:]) for c in self._children(name) if c.startswith("epoch=")]
+        base = max(used, default=-1) + 1 - epoch
+        fs, jpath = self._fs(self.path("_queries", name, f"{query}={base}"))
+        fs.mkdirs(jpath)
+        return base + epoch
+
+    def read_except(self, name: str, epoch: int, schema: T.StructType) -> DataFrame:
+        """Table contents without the batch ``epoch``."""
+        return self._batches(name, [e for e in self.epochs(name) if e != epoch], schema)
+
     def read_before(self, name: str, epoch: int, schema: T.StructType) -> DataFrame:
         """Table contents without the batches from ``epoch`` on."""
-        versions = self._complete(name, "v=")[-1:]
-        folders = versions + [f"epoch={e}" for e in self.epochs(name) if e < epoch]
+        return self._batches(name, [e for e in self.epochs(name) if e < epoch], schema)
+
+    def _batches(self, name: str, epochs: list[int], schema: T.StructType) -> DataFrame:
+        folders = self._complete(name, "v=")[-1:] + [f"epoch={e}" for e in epochs]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.path(name, f) for f in folders])

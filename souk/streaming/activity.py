@@ -40,7 +40,7 @@ class ActivityJobs:
     def _update(self, make, name: str, every: str):
         stream = make(event_stream(self.spark, self.landing, self.files_per_batch))
         sink = lambda batch, epoch: self.store.append(name, batch, epoch)
-        return run(stream, sink, self.store.path("_checkpoints", name), "update", every)
+        return run(stream, sink, self.store.path("_checkpoints", name), "update", every, (self.store, name))
 
     def run_customers(self, every: str = "available"):
         return self._update(customer_activity_stream, "customer_activity", every)

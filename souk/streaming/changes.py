@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from souk.operators.joins import not_in
 from souk.operators.ranks import Asc, global_row_number
 from souk.sources.schemas import ORDER_EVENTS
 from souk.sources.store import Store, with_defaults
@@ -30,17 +32,29 @@ def run(
     checkpoint: str,
     mode: str = "append",
     every: str = AVAILABLE_NOW,
+    into: tuple[Store, str] | None = None,
 ) -> StreamingQuery:
     """Start a query whose micro-batches go to ``handle``; empty ones are skipped.
 
+    With ``into``, a store and a table, batches are numbered so that a query
+    with a new checkpoint does not overwrite what an earlier one appended.
+    A batch is worked out once, whatever ``handle`` does with it.
+
     ``every`` is either ``available`` (take what is there, then stop: an
     outside scheduler starts the next run) or an interval such as
     ``5 minutes`` for a standing query with that freshness.
     """
 
     def gated(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            handle(batch, epoch)
+        held = batch.persist()
+        try:
+            if not held.isEmpty():
+                handle(held, into[0].batch_number(into[1], query_id(batch), epoch) if into else epoch)
+        finally:
+            held.unpersist()
+
+    def query_id(batch: DataFrame) -> str:
+        return json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
     writer = stream.writeStream.foreachBatch(gated).outputMode(mode).option(
         "checkpointLocation", checkpoint
@@ -113,6 +127,5 @@ def has_new_data(landing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Probe: highest landed and merged ids, and whether something is waiting."""
     top = lambda df: df.agg(F.coalesce(F.max("event_id"), F.lit(-1))).scalar()
     seen = landing.agg(F.coalesce(F.max("event_id"), F.lit(-1)).alias("landed"))
-    return seen.withColumn("merged", top(ledger)).withColumn(
-        "has_new_data", F.col("landed") > F.col("merged")
-    )
+    waiting = not_in(landing, ledger, "event_id").limit(1).agg(F.count("*") > 0).scalar()
+    return seen.withColumn("merged", top(ledger)).withColumn("has_new_data", waiting)

@@ -17,12 +17,17 @@ def run_writeback(
     customers: DataFrame,
     every: str = "available",
     files_per_batch: int | None = None,
+    checkpoint: str = "writeback",
 ):
-    """Merge new events, one epoch per micro-batch, with its own offsets."""
+    """Merge new events, one epoch per micro-batch, with its own offsets.
+
+    An event is merged once, even if the checkpoint is lost and all are read again.
+    """
     last = highest_id(base_orders)
     return run(
         event_stream(spark, landing, files_per_batch),
         lambda batch, epoch: merge_epoch(store, batch, last, customers, epoch),
-        store.path("_checkpoints", "writeback"),
+        store.path("_checkpoints", checkpoint),
         every=every,
+        into=(store, "realtime_events_merged"),
     )
