@@ -40,13 +40,33 @@ def _merge(table: pa.Table) -> pa.Table:
         docs = np.stack([get("keys", np.int64), get("sames", np.int64)], axis=1)
         docs, back = np.unique(docs, axis=0, return_inverse=True)
         owner = np.repeat(back.ravel(), get("counts", np.uint32))
-        order = np.argsort(owner, kind="stable")
+        at, to = get("at", np.int64), get("to", np.int64)
+        if len(to):
+            owner, at, to = _joined(owner, at, to)
+        else:
+            order = np.argsort(owner, kind="stable")
+            owner, at = owner[order], at[order]
         bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(docs)))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(get(c, np.int64)[order])) if own[0][c] else pa.nulls(len(docs), pa.list_(pa.int64())) for c in ("at", "to")]
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) if len(x) else pa.nulls(len(docs), pa.list_(pa.int64())) for x in (at, to)]
         out.append(pa.RecordBatch.from_arrays([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array([kind] * len(docs), pa.string()), *lists], schema=_MERGED))
     return pa.Table.from_batches(out, _MERGED)
 
 
+def _joined(owner: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches at..to of each document, those that touch joined, in order."""
+    order = np.lexsort((at, owner))
+    owner, at, to = owner[order], at[order], to[order]
+    wide = int(to.max()) + 1
+    reach = np.maximum.accumulate(owner * wide + to)  # the end so far, within the document
+    new = np.ones(len(at), bool)
+    new[1:] = owner[1:] * wide + at[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return owner[first], at[first], reach[np.append(first[1:], len(at)) - 1] - owner[first] * wide
+
+
 def merged(rows: DataFrame) -> DataFrame:
-    """key, same, kind, at, to (lists; to is null where none was given), one row for each document and kind."""
+    """key, same, kind, at, to (lists), one row for each document and kind.
+
+    Stretches from at to `to` are joined where they touch; to is null where none was given.
+    """
     return rows.groupBy("shard").applyInArrow(_merge, "key bigint, same bigint, kind string, at array<bigint>, to array<bigint>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     The driver then collects its garbage: Spark deletes the shuffle files of what is written, which
     would else stay on disk until the driver happens to do so.
     """
-    shared(df.sparkSession)
+    spark = df.sparkSession
+    shared(spark)
     out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df  # else its plan holds on to the shuffle files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
