@@ -132,3 +132,15 @@ def test_sentiment_averages_known_words(spark):
         unknown=text.sentiment(F.lit("zzz")),
     )
     assert (r.good, r.bad, r.unknown) == (0.5, -0.8, 0.0)
+
+
+def test_exact_sums_keep_small_and_large_amounts(spark):
+    from souk.functions.exact import exact_avg, exact_sum, weighted_avg
+
+    tiny = spark.range(10).withColumn("v", F.lit(0.00004))
+    assert tiny.agg(exact_sum(F.col("v"))).first()[0] == 0.0004
+    assert tiny.agg(exact_sum(F.lit(0.000001))).first()[0] == 0.00001
+    large = spark.range(1000).withColumn("v", F.lit(1e15))
+    assert large.agg(exact_sum(F.col("v"))).first()[0] == 1e18
+    assert large.agg(exact_avg(F.col("v"))).first()[0] == 1e15
+    assert spark.range(4).agg(weighted_avg(F.col("id") + F.lit(0.000001), F.col("id"))).first()[0] == (14 + 6e-6) / 6
