@@ -26,7 +26,7 @@ HEADLINE = """job01_customer_order_facts job02_customer_marketing_facts job03_go
     job04_order_fact job05_seller_order_metrics job06_seller_customer_metrics
     job07_seller_top_values job08_gold_seller_360 job09_customer_ai_360 job10_rfm_scores
     job13_forecast_customer_outlook job14_forecast_customer_outlook_v2
-    job15_forecast_seller_outlook job16_customer_seller_mapping win03_global_row_number
+    job15_forecast_seller_outlook job16_customer_seller_mapping job17_refresh_after_writeback win03_global_row_number
     str03_customer_activity str05_customer_live str06_seller_live
     str03_stream_customer_activity str10_merged_orders mrt01_inventory_risk
     mrt03_platform_profiles mrt04_cross_platform_identity mrt05_cross_platform_marketing

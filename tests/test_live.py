@@ -369,3 +369,16 @@ def test_cross_platform_identity(spark):
     assert (got[1].highest_spend_platform, got[1].most_frequent_platform) == ("app", "web")
     assert (got[1].cross_platform_segment, got[2].cross_platform_segment) == ("DUAL_PLATFORM", "SINGLE_PLATFORM")
     assert (got[1].rfm_segment, got[2].rfm_segment) == ("At Risk", None)
+
+
+def test_silence_of_exactly_the_gap_is_one_session(spark):
+    for extra, want in ((0, 1), (1, 2)):
+        rows = [event(1, 1, at=T0), event(2, 1, at=T0 + dt.timedelta(hours=6, seconds=extra))]
+        assert windows.session_activity(events(spark, rows), "6 hours").count() == want
+
+
+def test_waiting_events_are_seen_whatever_their_ids(spark):
+    landed = events(spark, [event(i) for i in (1, 2, 9)])
+    for merged, want in (([1, 9], True), ([1, 2, 9], False), ([], True)):
+        ledger = spark.createDataFrame([(i,) for i in merged], schemas.EVENT_LEDGER)
+        assert changes.has_new_data(landed, ledger).first().has_new_data is want
