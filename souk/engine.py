@@ -59,12 +59,31 @@ class Engine:
         self.store = store or Store(spark)
         self.as_of, self.now = as_of, now
         self._ready: dict[str, DataFrame] = {}
+        self._rebuild = False
 
     def table(self, name: str) -> DataFrame:
+        """A table: as the source has it, as the store has it, or built and stored now."""
         if name not in self._ready:
-            self._ready[name] = self.store.replace(name, self.plan(name))
+            if self._in_place(name):
+                self._ready[name] = self.plan(name)
+                if self.store.exists(name):  # written-back orders
+                    self._ready[name] = self._ready[name].unionByName(self.store.read(name, BASE_TABLES[name]))
+            elif self.store.exists(name) and (name in BASE_TABLES or not self._rebuild):
+                self._ready[name] = self.store.read(name)
+            else:
+                self.build(name)
         return self._ready[name]
 
+    def build(self, name: str) -> DataFrame:
+        """Works a table out and stores it as a new version."""
+        self._ready[name] = self.store.replace(name, self.plan(name))
+        return self._ready[name]
+
+    def _in_place(self, name: str) -> bool:
+        """Whether the source offers a base table in files of its own, which need no copy."""
+        offers = getattr(self.source, "in_place", None)
+        return name in BASE_TABLES and offers is not None and offers(name)
+
     def plan(self, name: str) -> DataFrame:
         """The query that defines a table, reading stored inputs."""
         return getattr(self, f"_{name}")()
@@ -72,7 +91,8 @@ class Engine:
     def refresh(self) -> dict[str, DataFrame]:
         """Rebuild every mart in dependency order from the current base tables."""
         self._ready = {n: df for n, df in self._ready.items() if n in BASE_TABLES}
-        return {name: self.table(name) for name in REFRESH_ORDER}
+        self._rebuild = True  # what is stored from before is not used any more
+        return {name: self.build(name) for name in REFRESH_ORDER}
 
     def absorb(self, merged_orders: DataFrame, merged_mapping: DataFrame) -> dict[str, DataFrame]:
         """Add written-back orders to the base tables, then refresh."""
@@ -87,7 +107,7 @@ class Engine:
             new = conform(not_in(rows, self.table(name), "order_id"), schema)
             epoch = max(self.store.epochs(name), default=-1) + 1
             self.store.append(name, new.sortWithinPartitions("customer_id"), epoch)
-            self._ready[name] = self.store.read(name, schema)
+            del self._ready[name]
 
     # -- base tables ------------------------------------------------------
     def _customers(self):

@@ -19,6 +19,10 @@ class ModelTables:
     def __init__(self, spark: SparkSession, folder: str, seller_json: str | None = None):
         self.spark, self.folder, self.seller_json = spark, folder.rstrip("/"), seller_json
 
+    def in_place(self, name: str) -> bool:
+        """Whether a table is read from its own files; parsed sellers are stored first."""
+        return not (name == "sellers" and self.seller_json)
+
     def _read(self, name: str) -> DataFrame:
         return typed_read(self.spark, f"{self.folder}/{name}", BASE_TABLES[name])
 

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from souk.engine import engine_for
 from souk.registry import QUERIES
@@ -26,6 +27,20 @@ def test_own_base_tables_give_the_same_marts(spark, engine, tmp_path):
     own = Engine(spark, ModelTables(spark, str(tmp_path)), Store(spark, str(tmp_path / "store")))
     for name in ("gold_customer_360", "gold_seller_360"):
         assert as_set(own.plan(name)) == as_set(engine.plan(name))
+    assert not own.store.exists("customers") and not own.store.exists("orders")  # read where they are
+
+    built = as_set(own.table("gold_seller_360"))
+    again = Engine(spark, ModelTables(spark, str(tmp_path)), own.store)
+    again.build = None  # a second process on the same store writes nothing
+    assert as_set(again.table("gold_seller_360")) == built
+
+    mapping = own.table("customer_seller_mapping")
+    one = own.table("orders").limit(1).withColumn("order_id", F.lit(-1).cast("bigint"))
+    link = mapping.limit(1).withColumn("order_id", F.lit(-1).cast("bigint"))
+    n = own.table("orders").count()
+    for _ in range(2):
+        own.add_orders(one, link)
+        assert own.table("orders").count() == n + 1
 
 
 def physical(df):
