@@ -855,11 +855,14 @@ def _down(kind: str, strict: bool = False) -> str:
     return text + (f" OR ({now} = 'silver' AND {then} = 'bronze')" if strict else "")
 
 
-def _alert(n: int, count: str, source: str, risk: str = "CAST(NULL AS DOUBLE)") -> str:
+def _alert(
+    n: int, count: str, source: str, risk: str = "CAST(NULL AS DOUBLE)",
+    parts: tuple[str, str] = ("CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)"),
+) -> str:
     name = dict(alerts.ALERTS)[n]
     return (
         f"SELECT {n} AS alert_id, '{name}' AS alert_name, {count} AS triggered_count, {risk} AS "
-        f"revenue_at_risk FROM {source}"
+        f"revenue_at_risk, {parts[0]} AS customers_downgraded, {parts[1]} AS sellers_downgraded FROM {source}"
     )
 
 
@@ -868,12 +871,11 @@ def _money(test: str) -> str:
 
 
 def _downgrades(strict: bool = False) -> str:
-    return _alert(
-        5,
-        f"(SELECT {N(_down('loyalty', strict))} FROM m_fc) + "
+    parts = (
+        f"(SELECT {N(_down('loyalty', strict))} FROM m_fc)",
         f"(SELECT {N(_down('seller', strict))} FROM m_fs)",
-        "(SELECT 1)",
     )
+    return _alert(5, " + ".join(parts), "(SELECT 1)", parts=parts)
 
 
 _churny, _risky = "churn_prediction_30d IN ('VERY HIGH', 'HIGH')", "risk_forecast IN ('CRITICAL', 'HIGH')"
@@ -907,8 +909,8 @@ for _n, _key in {
     O[_key] = ALERT_SQL[_n]
 O["alr12_report_rollup"] = (
     f"SELECT {N('triggered_count > 0')} AS alerts_fired, CASE WHEN {N('triggered_count > 0')} > 0 "
-    f"THEN CAST({N('triggered_count > 0')} AS VARCHAR) || ' alerts' ELSE 'No alerts triggered. All "
-    f"systems healthy.' END AS message FROM ({O['alr_all_alerts']})"
+    f"THEN CAST({N('triggered_count > 0')} AS VARCHAR) || ' alerts' ELSE 'nothing "
+    f"to report' END AS message FROM ({O['alr_all_alerts']})"
 )
 
 # -- questions --------------------------------------------------------------------------------------------

@@ -219,7 +219,10 @@ class Engine:
         return inventory.inventory_risk(self.table("seller_orders"), self.table("sellers"))
 
     def _stockout_alerts(self):
-        return inventory.stockout_alerts(self.table("inventory_risk"), None, self.now)
+        """Alerts of the last run keep their time, and are closed for products that recovered."""
+        known = self.store.exists("stockout_alerts")
+        before = self.store.read("stockout_alerts") if known else None
+        return inventory.stockout_alerts(self.table("inventory_risk"), before, self.now)
 
     def _platform_profiles(self):
         return platforms.customer_platform_profiles(self.table("orders"))

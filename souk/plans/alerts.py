@@ -113,6 +113,8 @@ def alerts(
 ) -> DataFrame:
     """One row per alert: id, name, triggered count and revenue at risk.
 
+    The tier alert watches customers and sellers; it has a count of each.
+
     Three one-row aggregates (one scan per table) are turned into rows.
     """
     frames = [
@@ -129,15 +131,22 @@ def alerts(
         F.regexp_extract("key", "([0-9]+)", 1).cast("int").alias("alert_id"),
         F.when(kind == "a", F.col("v").cast("long")).alias("n"),
         F.when(kind == "r", F.col("v")).alias("risk"),
+        F.when(F.col("key") == "a5c", F.col("v")).cast("long").alias("people"),
+        F.when(F.col("key") == "a5s", F.col("v")).cast("long").alias("sellers"),
     )
     names = F.create_map(*[F.lit(x) for pair in ALERTS for x in pair])
     return rows.groupBy("alert_id").agg(
-        F.sum("n").alias("triggered_count"), F.max("risk").alias("revenue_at_risk")
+        F.sum("n").alias("triggered_count"),
+        F.max("risk").alias("revenue_at_risk"),
+        F.max("people").alias("customers_downgraded"),
+        F.max("sellers").alias("sellers_downgraded"),
     ).select(
         "alert_id",
         F.element_at(names, F.col("alert_id")).alias("alert_name"),
         "triggered_count",
         "revenue_at_risk",
+        "customers_downgraded",
+        "sellers_downgraded",
     )
 
 
@@ -145,7 +154,7 @@ def fired(alert_rows: DataFrame) -> DataFrame:
     """Number of alerts that fired, with the closing message."""
     n = F.count_if(F.col("triggered_count") > 0)
     message = F.when(n > 0, F.concat(n.cast("string"), F.lit(" alerts"))).otherwise(
-        F.lit("No alerts triggered. All systems healthy.")
+        F.lit("nothing to report")
     )
     return alert_rows.agg(n.alias("alerts_fired"), message.alias("message"))
 
