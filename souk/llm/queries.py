@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, lines, mixing, quality, substrings, suffixes, tokens, warc
+from souk.llm import language, lines, mixing, quality, sql, substrings, suffixes, tokens, warc
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
@@ -118,6 +118,10 @@ QUERIES["op6_warc_archives"] = op6_warc_archives
 ORACLE["op6_warc_archives"] = warc.ORACLE
 QUERIES["op7_ngram_jaccard_join"] = op7_ngram_jaccard_join
 QUERIES["op8_source_mixing"] = op8_source_mixing
+ORACLE["op4_substring_dedup"] = sql.OP4
+ORACLE["op5_suffix_dedup"] = sql.OP5
+ORACLE["op7_ngram_jaccard_join"] = sql.OP7
+ORACLE["op10_benchmark_decontamination"] = sql.OP10
 ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op9_quality_rules"] = op9_quality_rules
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
