@@ -40,8 +40,9 @@ def stored(df: DataFrame) -> DataFrame:
     shared(spark)
     out = df.checkpoint()
     del df  # else its plan holds on to the shuffle files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees what the second can find
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

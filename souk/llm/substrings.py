@@ -39,18 +39,33 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys, batch.column("same").to_numpy(zero_copy_only=False)
 
 
+def _gaps(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending words of each document as steps of one byte each; longer steps follow as numbers."""
+    steps = np.diff(at, prepend=0)
+    steps[np.cumsum(counts) - counts] = at[np.cumsum(counts) - counts]
+    return np.minimum(steps, 255).astype(np.uint8).tobytes() + steps[steps >= 255].astype(np.uint32).tobytes()
+
+
+def _ungapped(raw: bytes, counts: np.ndarray) -> np.ndarray:
+    n = int(counts.sum())
+    steps = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    steps[steps == 255] = np.frombuffer(raw, np.uint32, -1, n)
+    whole, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return whole - np.repeat(whole[first] - steps[first], counts)
+
+
 def _packed(bucket: int, local: bool, keys, sames, owner: np.ndarray, hashes, at, to=None) -> dict:
-    """One row of arrays for many places; owner: the document of each, ascending."""
+    """One row of arrays for many places; owner: the document of each, ascending, as are its places."""
     docs, counts = np.unique(owner, return_counts=True)
     short = lambda x: b"" if x is None else x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
-    return {"bucket": bucket, "local": local, "keys": keys[docs].tobytes(), "sames": sames[docs].tobytes() if sames is not None else b"", "counts": counts.astype(np.uint32).tobytes(), "hashes": b"" if hashes is None else hashes.tobytes(), "at": short(at), "to": short(to)}
+    return {"bucket": bucket, "local": local, "keys": keys[docs].tobytes(), "sames": sames[docs].tobytes() if sames is not None else b"", "counts": counts.astype(np.uint32).tobytes(), "hashes": b"" if hashes is None else hashes.tobytes(), "at": _gaps(at, counts), "to": short(to)}
 
 
 def _unpacked(row: dict, kind) -> tuple[np.ndarray, ...]:
     keys, sames, counts = (np.frombuffer(row[c], k) for c, k in (("keys", np.int64), ("sames", np.int64), ("counts", np.uint32)))
     n = int(counts.sum())
     long = lambda raw: np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
-    return keys, sames, counts, np.frombuffer(row["hashes"], kind), long(row["at"]), long(row["to"]) if row["to"] else None
+    return keys, sames, counts, np.frombuffer(row["hashes"], kind), _ungapped(row["at"], counts.astype(np.int64)), long(row["to"]) if row["to"] else None
 
 
 def _deal(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
