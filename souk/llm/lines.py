@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from souk.llm.columns import let
 from souk.llm.components import components
-from souk.llm.store import stored
+from souk.llm.store import fresh, stored
 
 BITS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -43,20 +43,20 @@ def _lines(own: DataFrame) -> DataFrame:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """h1, h2, sim for each distinct line (columns h1, h2, line).
+    """h1, h2, line, sim for each distinct line (columns h1, h2, line).
 
     Bits are counted two to a number, in halves of 32 bits. The words stay where the lines are.
     """
-    words = lines.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode(F.split("line", " ")).alias("word"))
-    words = words.select("h1", "h2", F.xxhash64("word").alias("w"))
+    words = lines.select("h1", "h2", "line").dropDuplicates(["h1", "h2"]).select("h1", "h2", "line", F.explode(F.split("line", " ")).alias("word"))
+    words = words.select("h1", "h2", "line", F.xxhash64("word").alias("w"))
     lane = lambda j: F.shiftrightunsigned("w", j).bitwiseAND(F.lit((1 << 32) + 1))
-    counts = words.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.sum(lane(j)).alias(f"c{j}") for j in range(32)])
+    counts = words.groupBy("h1", "h2", "line").agg(F.count(F.lit(1)).alias("n"), *[F.sum(lane(j)).alias(f"c{j}") for j in range(32)])
     sim = F.lit(0).cast("bigint")
     for j in range(32):
         for count, bit in ((F.col(f"c{j}").bitwiseAND(F.lit((1 << 32) - 1)), j), (F.shiftrightunsigned(f"c{j}", 32), j + 32)):
             value = (1 << bit) - (1 << 64 if bit == 63 else 0)
             sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(value)).otherwise(F.lit(0)).cast("bigint"))
-    return counts.select("h1", "h2", sim.alias("sim"))
+    return counts.select("h1", "h2", "line", sim.alias("sim"))
 
 
 def _keys(sim: Column) -> Column:
@@ -75,25 +75,26 @@ def _similar(a: Column, b: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & found
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar."""
     pairs = stored(pairs.distinct())
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "h1", "h2"), "node"))
-    texts = _lines(own).join(_small(wanted), ["h1", "h2"]).select("node", "line").dropDuplicates(["node"])
-    texts = stored(texts)
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = stored(nodes.select("node", "line").join(_small(wanted), "node"))
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
     return stored(both.where(_similar(F.col("line_a"), F.col("line_b"))).select("a", "b"))
 
 
 def line_groups(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (node, h1, h2), and of those in a group of several the group's smallest node."""
-    nodes = stored(simhashes(_lines(own)).withColumn("node", F.monotonically_increasing_id()))
+    path = fresh(own.sparkSession, "lines")
+    simhashes(_lines(own)).withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
+    nodes = own.sparkSession.read.parquet(path)
     keyed = nodes.select("node", "sim", F.explode(_keys(F.col("sim"))).alias("block"))
     hubs = keyed.groupBy("block").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min_by("sim", "node").alias("hub_sim")).where("hub < top")
     met = stored(keyed.join(hubs.drop("top"), "block"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
     stars = met.where((F.col("node") > F.col("hub")) & near("sim", "hub_sim")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    linked = _verified(stars, nodes, own)
+    linked = _verified(stars, nodes)
 
     label = stored(components(linked))
     met = met.select("block", "node", "sim").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -106,8 +107,8 @@ def line_groups(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = stars.distinct().select("a", "b")
     more = stored(across.join(tried, ["a", "b"], "left_anti"))
     if more.take(1):
-        label = stored(components(linked.unionByName(_verified(more, nodes, own))))
-    return nodes.drop("sim"), label
+        label = stored(components(linked.unionByName(_verified(more, nodes))))
+    return nodes.select("node", "h1", "h2"), label
 
 
 def without_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
