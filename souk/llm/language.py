@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import Lookup, Spans, kept
+from souk.llm.rawtext import Lookup, Spans, kept_one
 
 PIECE = 16  # bytes of the longest piece used
 LONGEST = 32  # bytes of the longest word in the fit
@@ -205,16 +205,17 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     Null texts and texts without a letter get `und` and 0; so do all if the model has no language.
     Ties go to the first language by name. Repeated rows get equal results; null keys are kept.
     """
-    own = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    body = text if text in keep else "_text"  # sent once
+    own = docs.select(F.col(key).alias("_key"), *([] if text in keep else [F.col(text).cast("string").alias("_text")]), *[F.col(f"`{c}`") for c in keep])
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     schema = ", ".join([f"_key {kinds['_key']}", *[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string, score double, n_letter_words bigint"])
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     name = ("language", hash(model.chances.tobytes()), tuple(model.languages))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = kept(name, lambda: Scorer(model))
+        scorer = kept_one(name, lambda: Scorer(model))
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(body).to_pylist()
             ends, a = np.cumsum([len(x or "") for x in texts]), 0
             while a < len(texts):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))

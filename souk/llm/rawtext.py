@@ -23,6 +23,15 @@ def kept(name: Any, make: Callable[[], Any]) -> Any:
     return box[name]
 
 
+def kept_one(name: Any, make: Callable[[], Any]) -> Any:
+    """As kept(), for large caches: a Python process holds one of them, the last asked for."""
+    box = kept("one", dict)
+    if name not in box:
+        box.clear()
+        box[name] = make()
+    return box[name]
+
+
 def _classes(word: Iterable[int]) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(word)] = True

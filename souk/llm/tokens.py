@@ -23,10 +23,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import kept
+from souk.llm.rawtext import kept_one
 from souk.llm.store import slices
 
-CACHE = 800_000  # words whose ids a worker remembers; a full cache is emptied
+CACHE = 500_000  # words whose ids a worker remembers; a full cache is emptied
 BATCH = 2_000_000  # characters encoded at once
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The byte-level splitting rule for texts up to U+024F, where classes of characters are certain.
@@ -65,7 +65,7 @@ class Encoder:
 
 def _encode(model: str, end: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("encoder", zlib.crc32(model.encode())), lambda: Encoder(model))
+        encoder = kept_one(("encoder", zlib.crc32(model.encode())), lambda: Encoder(model))
         at, last = 0, np.array([end], "<i4").tobytes()
         for batch in batches:
             texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
