@@ -256,7 +256,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     buckets = max(1, -(-total // BUCKET))
 
     found = stored(merged(own.mapInArrow(_probes(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_hits(block, buckets), PACK_DDL)))
-    hits = found.where("kind = 'hit'").select(F.col("key").alias("_key"), F.col("at").alias("hits"))
+    # stored apart: by then Spark can delete the probes' shuffle files, before texts are shuffled
+    hits = stored(found.where("kind = 'hit'").select(F.col("key").alias("_key"), F.col("at").alias("hits")))
     rank = F.coalesce(F.col("key"), F.lit(int(LAST)))
     near = own.join(hits, rank == F.col("_key")).drop("_key")
     later = merged(near.mapInArrow(_candidates(width, block, buckets), _PACK_DDL).groupBy("bucket").applyInArrow(_repeats(width, buckets), PACK_DDL))
