@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import Lookup, Spans, kept_one
+from souk.llm.rawtext import Lookup, Spans, kept_one, text_lists
 
 PIECE = 16  # bytes of the longest piece used
 LONGEST = 32  # bytes of the longest word in the fit
-CACHE = 300_000  # words whose likelihoods a worker remembers; a full cache is emptied
-BATCH = 2_000_000  # characters handled at once
+CACHE = 150_000  # words whose likelihoods a worker remembers; a full cache is emptied
+BATCH = 1_000_000  # bytes of text handled at once
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -214,21 +214,15 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept_one(name, lambda: Scorer(model))
-        for batch in batches:
-            texts = batch.column(body).to_pylist()
-            ends, a = np.cumsum([len(x or "") for x in texts]), 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))
-                sums, n = scorer(texts[a:b])
-                names, score = np.full(b - a, "und", object), np.zeros(b - a)
-                if model.languages:
-                    best = sums.argmax(axis=1)
-                    rest = np.exp(np.minimum(sums - sums[np.arange(b - a), best][:, None], 0)).sum(axis=1)
-                    names[n > 0] = np.array(model.languages, object)[best[n > 0]]
-                    score[n > 0] = (1 / rest)[n > 0]
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([rows.column("_key"), *[rows.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score), pa.array(n.astype(np.int64))], schema=arrow)
-                a = b
+        for rows, texts in text_lists(batches, body, BATCH):
+            sums, n = scorer(texts)
+            names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            if model.languages:
+                best = sums.argmax(axis=1)
+                rest = np.exp(np.minimum(sums - sums[np.arange(len(texts)), best][:, None], 0)).sum(axis=1)
+                names[n > 0] = np.array(model.languages, object)[best[n > 0]]
+                score[n > 0] = (1 / rest)[n > 0]
+            yield pa.RecordBatch.from_arrays([rows.column("_key"), *[rows.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score), pa.array(n.astype(np.int64))], schema=arrow)
 
     return own.mapInArrow(run, schema).withColumnRenamed("_key", key)
 

@@ -70,6 +70,19 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
             at = to
 
 
+def text_lists(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with about `limit` bytes of text, and their texts; what Arrow has freed goes back in between."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+            part = batch.slice(at, to - at)
+            yield part, part.column(column).to_pylist()
+            pa.default_memory_pool().release_unused()
+            at = to
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the n+1 offsets of the texts in words."""
     inside = table[data]

@@ -23,11 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import kept_one
+from souk.llm.rawtext import kept_one, text_lists
 from souk.llm.store import slices
 
-CACHE = 500_000  # words whose ids a worker remembers; a full cache is emptied
-BATCH = 2_000_000  # characters encoded at once
+CACHE = 300_000  # words whose ids a worker remembers; a full cache is emptied
+BATCH = 1_000_000  # bytes of text encoded at once
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The byte-level splitting rule for texts up to U+024F, where classes of characters are certain.
 SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -67,20 +67,13 @@ def _encode(model: str, end: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_one(("encoder", zlib.crc32(model.encode())), lambda: Encoder(model))
         at, last = 0, np.array([end], "<i4").tobytes()
-        for batch in batches:
-            texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
-            ends = np.cumsum([len(x) for x in texts])
-            a = 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))
-                ids = [x + last for x in encoder(texts[a:b])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("key"), pa.array(at + bounds[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)], names=["part", "key", "at", "n_tokens", "ids"]).cast(schema)
-                at += int(bounds[-1])
-                a = b
+        for rows, texts in text_lists(batches, "text", BATCH):
+            ids = [x + last for x in encoder(["" if x is None else x for x in texts])]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("key"), pa.array(at + bounds[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)], names=["part", "key", "at", "n_tokens", "ids"]).cast(schema)
+            at += int(bounds[-1])
 
     return run
 
