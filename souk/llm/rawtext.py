@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -32,6 +33,14 @@ def kept_one(name: Any, make: Callable[[], Any]) -> Any:
     return box[name]
 
 
+def give_back() -> None:
+    """Returns memory that was freed to the system; workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def _classes(word: Iterable[int]) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(word)] = True
@@ -68,10 +77,11 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        give_back()
 
 
 def text_lists(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with about `limit` bytes of text, and their texts; what Arrow has freed goes back in between."""
+    """Slices of the batches with about `limit` bytes of text, and their texts."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -79,8 +89,8 @@ def text_lists(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> It
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
             part = batch.slice(at, to - at)
             yield part, part.column(column).to_pylist()
-            pa.default_memory_pool().release_unused()
             at = to
+        give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
