@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.store import stored
+from souk.llm.store import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     jumps grow with the logarithm of the nodes. Loops and repeated edges are allowed, nulls are not.
     No edges: no rows.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     edges = edges.where("a < b")
     while edges.take(1):
         both = edges.union(edges.select("b", "a")).toDF("node", "next")
-        hooks = stored(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("to")))
+        hooks = written(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("to")))
         jumps = hooks
         while True:
-            jumps = stored(_jumped(_jumped(jumps)))
+            jumps = written(_jumped(_jumped(jumps)))
             if not jumps.join(hooks.toDF("to", "end"), "to").where("end <> to").take(1):
                 break
-        labels = labels.join(jumps.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = written(labels.join(jumps.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         drawn = edges.join(jumps.toDF("a", "to_a"), "a").join(jumps.toDF("b", "to_b"), "b").where("to_a <> to_b")
-        edges = stored(drawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        edges = written(drawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
     return labels
 
 

@@ -46,5 +46,16 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """As stored(), as a Parquet table: its size is known afresh.
+
+    A checkpoint keeps the size that was estimated for its plan, which loops of joins multiply
+    until the optimizer spends its time on the numbers.
+    """
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
