@@ -3,8 +3,9 @@
 A page whose payload (of `least` bytes or more) equals that of a page with a smaller id becomes a
 revisit record that refers to the smallest one; all others are responses with their payload.
 
-Readers take byte ranges of the files and cut them wherever a record could begin. That may be
-inside a payload. Each cut is a candidate with the offset its own header gives for its successor.
+Readers take byte ranges of the files and cut them wherever a line begins like a record. That may be
+inside a payload. Each cut after two line ends is a candidate with the offset its own header gives for
+its successor.
 A record is real if the chain of successors from the start of its file reaches it: neighbours that
 point to each other are joined to runs, and pointer jumping over the runs finds those that the
 start reaches. The other cuts are parts of the payload they lie in.
@@ -24,7 +25,7 @@ from souk.llm.store import stored
 
 END = "\r\n\r\n"
 MAGIC = "WARC/1."
-CUT = END + MAGIC
+CUT = "\n" + MAGIC  # its first byte occurs nowhere else in it, so a line reader that cannot step back over its buffer's edge finds each
 LONGEST = 1 << 20  # bytes of a header
 FEW = 100_000  # rows of a table that may be sent to every task; larger ones are shuffled
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,14 +70,14 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between two possible record starts, in the order of the file within a split."""
+    """What lies between two lines that begin like a record, in the order of the file within a split."""
     raw = spark.read.option("lineSep", CUT).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def _header(value: Column) -> Column:
-    """The header that a piece begins with, if any. Where a payload begins like a record, the cut takes the header's end or part of it."""
-    ended = F.when(value.contains(END), value).when(F.octet_length(value) < LONGEST, F.concat(value, F.lit(END)))
+    """The header that a piece begins with, if any. Where a payload begins like a record, the cut takes the last byte of the header's end."""
+    ended = F.when(value.contains(END), value).when(value.endswith(END[:-1]) & (F.octet_length(value) < LONGEST), F.concat(value, F.lit(END[-1])))
     return F.when(F.substring(value, 1, 10).rlike(r"^(WARC/1\.)?[01]\r\n"), F.substring_index(ended, END, 1))
 
 
@@ -96,17 +97,20 @@ def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, at, off, next (offset of the successor by the header; null without one), whole."""
-    found = _pieces(spark, path).select("file", "block", F.octet_length("value").cast("bigint").alias("len"), _header(F.col("value")).alias("header"))
+    """file, block, at, off, next (offset of the successor by the header; null without one or if no END stands before), whole."""
+    value = F.col("value")
+    found = _pieces(spark, path).select("file", "block", F.octet_length(value).cast("bigint").alias("len"), value.endswith(END[:-1]).alias("ends"), _header(value).alias("header"))
     length = F.regexp_extract("header", r"(?im)^Content-Length:[ \t]*(\d{1,18})[ \t]*\r?$", 1)
     need = F.octet_length("header") + 4 + F.when(length != "", length.cast("bigint"))
-    found = found.select("file", "block", "len", need.alias("need")).mapInArrow(_place, "file string, block bigint, len bigint, need bigint, at bigint")
+    found = found.select("file", "block", "len", "ends", need.alias("need")).mapInArrow(_place, "file string, block bigint, len bigint, ends boolean, need bigint, at bigint")
     found = stored(found)
     splits = found.groupBy("file", "block").agg(F.sum(F.col("len") + len(CUT)).alias("bytes"))
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     begin = F.col("base") + F.col("at")
-    return found.join(splits, ["file", "block"]).select("file", "block", "at", F.when(begin == 0, 0).otherwise(begin - len(MAGIC)).alias("off"), (begin + F.col("need") + len(END)).alias("next"), (F.col("need") <= F.col("len")).alias("whole"))
+    after = (begin == 0) | F.lag("ends").over(W.partitionBy("file").orderBy("off"))
+    placed = found.join(splits, ["file", "block"]).withColumn("off", F.when(begin == 0, 0).otherwise(begin - len(MAGIC)))
+    return placed.select("file", "block", "at", "off", F.when(after, begin + F.col("need") + len(END)).alias("next"), (F.col("need") <= F.col("len")).alias("whole"))
 
 
 def _reached(candidates: DataFrame) -> DataFrame:

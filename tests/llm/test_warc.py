@@ -53,3 +53,27 @@ def test_broken_chain(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(("junk" + good.format(6, 3)).encode())
     found = sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path)).collect())
     assert found == ["1", "4"] or found == ["1", "2", "4"]
+
+
+@pytest.mark.parametrize("split", ["128m", "64k"])
+@pytest.mark.parametrize("tail", ["", "x\r\n", "x\r\n\r\n"])
+def test_record_starts_around_a_buffer_edge(spark, tmp_path, split, tail):
+    """Records after an empty payload or one that ends in line ends, with the start at each offset around the reader's 64 KB."""
+
+    def record(i, body):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+    want, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rest = "".join(record(i, tail) for i in range(2, 10))
+    for edge in range(-12, 24):
+        bare = len(record(0, "a" * 50_000) + record(1, tail)) - 50_000
+        raw = record(0, "a" * ((1 << 16) + edge - bare)) + record(1, tail) + rest
+        assert raw.index("WARC/1.", (1 << 16) + edge) == (1 << 16) + edge
+        (tmp_path / f"{edge + 12}.warc").write_bytes(raw.encode())
+        want += [(str(i), (1 << 16) + edge - bare if i == 0 else len(tail)) for i in range(10)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = [(r.record_id, len(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(found) == sorted(want)
