@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from souk.llm import decontaminate, lines, mixing, neardup, quality, tokens
+from souk.llm import decontaminate, lines, mixing, neardup, quality, queries, tokens
 from souk.llm.components import components
 from souk.llm.queries import byte_bpe
 from souk.llm.store import fresh
@@ -197,6 +197,18 @@ def test_quality_without_target(spark, rows):
     assert quality.quality(none, none).collect() == []
 
 
+def test_quality_of_labelled_documents(spark):
+    """With the query's own setting, documents labelled as bad go and trusted ones stay, but for what the base rules take."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = [(labels[r.doc_id], r.kept) for r in queries.op9_quality_rules(spark, folder).collect() if r.doc_id in labels and not r.base_failed]
+    bad = [kept for (good, _), kept in found if good == 0]
+    clean = [kept for label, kept in found if label == (1, 0)]
+    assert len(bad) >= 200 and len(clean) >= 2000
+    assert sum(bad) <= 0.02 * len(bad)
+    assert sum(clean) >= 0.98 * len(clean)
+
+
 def test_lines(spark):
     rnd = np.random.default_rng(2)
     pool = [[f"wort{rnd.integers(300)}" for _ in range(int(rnd.integers(1, 40)))] for _ in range(12)]
