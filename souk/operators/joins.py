@@ -39,8 +39,11 @@ def split_join(
 
     ``counted`` names a cheaper frame with at least the key rows of ``facts``
     (say, a stored table ``facts`` was joined from) to find the hot keys in.
+
+    Hot keys are broadcast: there is at most one for each ``hot_rows`` rows, and
+    a shuffle to find them would send the rows of a hot key to one task.
     """
-    found = hot_keys(facts if counted is None else counted, key, hot_rows)
+    found = F.broadcast(hot_keys(facts if counted is None else counted, key, hot_rows))
     hash_ = F.xxhash64(spread)
     sub = F.when(F.col(key).isNull(), hash_).otherwise(
         F.coalesce(F.pmod(hash_, F.col("_splits")), F.lit(0))
