@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, lines, mixing, quality, sql, substrings, suffixes, tokens, warc
+from souk.llm import language, lines, mixing, quality, simhash, sql, substrings, suffixes, tokens, warc, whitening
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
@@ -109,6 +109,17 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), trusted(spark, folder))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, folder, "documents"))
+    return out.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    out = whitening.whiten(table(spark, folder, "embeddings"))
+    # A sum that a long cannot hold (some millions of vectors) is null here; the operator's decimal has it.
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op2_line_dedup"] = op2_line_dedup
 QUERIES["op3_token_orc"] = op3_token_orc
@@ -125,3 +136,5 @@ ORACLE["op10_benchmark_decontamination"] = sql.OP10
 ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op9_quality_rules"] = op9_quality_rules
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
+QUERIES["op12_simhash_near_dedup"] = op12_simhash_near_dedup
+QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
