@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import language, lines, mixing, quality, simhash, sql, substrings, suffixes, tokens, warc, whitening
+from souk.llm import dialogue, language, lines, mixing, quality, simhash, sql, substrings, suffixes, tokens, warc, whitening
 from souk.llm.decontaminate import benchmark_hits
 from souk.llm.neardup import near_duplicates
 from souk.llm.store import fresh
@@ -109,6 +109,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), trusted(spark, folder))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, folder, "conversations")), "copies")
+
+
 def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, folder, "documents"))
     return out.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
@@ -136,5 +140,6 @@ ORACLE["op10_benchmark_decontamination"] = sql.OP10
 ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op9_quality_rules"] = op9_quality_rules
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
+QUERIES["op11_conversation_repair"] = op11_conversation_repair
 QUERIES["op12_simhash_near_dedup"] = op12_simhash_near_dedup
 QUERIES["op13_embedding_whitening"] = op13_embedding_whitening

@@ -30,6 +30,6 @@ def test_stages(spark, small):
 
 def test_run_and_registration(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert neardup.near_duplicates(spark.read.parquet(f"{small}/documents.parquet")).count() == 200
