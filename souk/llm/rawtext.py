@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -119,38 +120,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# Odd factors and the seeds of the two hashes; any would do.
+_FACTORS = tuple(map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+PART = 1 << 16  # hashes made at once
+LONG = 1_024  # bytes from which a span is hashed on its own
+
+
 class Spans:
-    """64-bit hashes of any spans of one byte string, equal for equal bytes."""
+    """64-bit hashes of any spans of one byte string, equal for equal bytes.
+
+    Eight bytes at a time are multiplied, turned and mixed into the state, so that unlike with a
+    polynomial no pattern of bytes is known to cancel out; different seeds are independent.
+    """
 
     def __init__(self, data: np.ndarray, seed: int = 0, fold: np.ndarray | None = None):
-        tab, up, down = _tables(seed, len(data) + 1)
         if fold is not None:
-            tab = tab[fold]
-        self._down = down
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(tab[data] * up[: len(data)], out=self._sums[1:])
+            data = fold[data]
+        self.seed = seed
+        self.size = len(data)
+        self.raw = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray(self.size + 1, "<u8", self.raw, strides=(1,))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self._sums[ends] - self._sums[starts]) * self._down[starts])
-
-
-def _tables(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random odd number for each byte, and the powers of a base and of its inverse."""
-    size = CHUNK + 1
-    while size < n:
-        size *= 2
-
-    def make():
-        base = (_ODD * (2 * seed + 1)) % 2**64 | 5
-        tab = np.random.default_rng(1000 + seed).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        powers = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            powers.append(np.cumprod(p, dtype=np.uint64))
-        return tab, *powers
-
-    return make() if size > 8 * CHUNK else kept(("spans", seed, size), make)
+        if len(starts) > PART:  # so that what is worked on stays in the processor's cache
+            return np.concatenate([self(starts[i : i + PART], ends[i : i + PART]) for i in range(0, len(starts), PART)])
+        size = ends - starts
+        state = mixed(size.astype(np.uint64) + np.uint64((2 * self.seed + 1) * _ODD % 2**64))
+        long = np.flatnonzero(size > LONG)
+        left = np.where(size > LONG, 0, size)
+        at, n, some = starts, left, slice(None)
+        step = 0
+        while len(n) and (step == 0 or n.max() > 8 * step):
+            if step:
+                keep = np.flatnonzero(n > 8 * step)
+                some = keep if step == 1 else some[keep]
+                at, n = at[keep], n[keep]
+            state[some] = _stirred(state[some], self.eight[np.minimum(at + 8 * step, self.size)] & _MASKS[np.minimum(n - 8 * step, 8)])
+            step += 1
+        for i in long.tolist():
+            value = hashlib.blake2b(self.raw[starts[i] : ends[i]], digest_size=8, salt=self.seed.to_bytes(8, "little")).digest()
+            state[i] ^= np.uint64(int.from_bytes(value, "little"))
+        return mixed(state)
+
+
+def _stirred(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    value = value * _FACTORS[1]
+    value = ((value << np.uint64(31)) | (value >> np.uint64(33))) * _FACTORS[0]
+    state = state ^ value
+    return ((state << np.uint64(27)) | (state >> np.uint64(37))) * _FACTORS[0] + _FACTORS[2]
+
+
+def grams(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of the `width` bytes (8, 16, 32 ...) from each place on: halves are mixed and put together."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    if len(data) > PART + width:
+        return np.concatenate([grams(data[i : i + PART + width - 1], width, seed) for i in range(0, len(data) - width + 1, PART)])
+    raw = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = _stirred(np.full(len(raw), (2 * seed + 1) * _ODD % 2**64, np.uint64), raw)
+    half = 8
+    while half < width:
+        out ^= out >> np.uint64(32)
+        out = _stirred(out[:-half] * _FACTORS[1] + _FACTORS[3], out[half:])
+        half *= 2
+    return mixed(out)
 
 
 def runs_of(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

@@ -90,9 +90,7 @@ def _probes(width: int, block: int, buckets: int):
                 if not len(whole):
                     continue
                 windows = runs_of(hashes, width)[whole]
-                order = np.argsort(windows, kind="stable")  # places are in order of their keys
-                head = np.ones(len(order), bool)
-                head[1:] = windows[order][1:] != windows[order][:-1]
+                order, head = _grouped(data, starts, ends, whole, windows, width)  # places are in order of their keys
                 earliest = keys[owner[whole[order[head]]]][np.cumsum(head) - 1]
                 repeat = np.zeros(n, bool)
                 repeat[whole[order]] = keys[owner[whole[order]]] > earliest
@@ -118,6 +116,37 @@ def _probes(width: int, block: int, buckets: int):
     return run
 
 
+def _grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, and whether each is the first of its kind; equal hashes are checked by bytes."""
+    while True:
+        order = np.argsort(windows, kind="stable")
+        head = np.ones(len(order), bool)
+        head[1:] = windows[order][1:] != windows[order][:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        other = order[_differ(data, starts, ends, places[order], first, width)]
+        if not len(other):
+            return order, head
+        windows = windows.copy()
+        windows[other] = windows[other] * np.uint64(3) + np.uint64(1)  # the same for equal windows
+
+
+def _differ(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, head: np.ndarray, width: int) -> np.ndarray:
+    """Whether the window at each place has other bytes in its words than that at place `head` of the list."""
+    many = np.flatnonzero(head != np.arange(len(places)))
+    out = np.zeros(len(places), bool)
+    for j in range(width):
+        a, b = places[many] + j, places[head[many]] + j
+        sizes = ends[a] - starts[a]
+        same = sizes == ends[b] - starts[b]
+        out[many[~same]] = True
+        many, a, b, sizes = many[same], a[same], b[same], sizes[same]
+        grow = np.cumsum(sizes) - sizes
+        inner = np.arange(sizes.sum()) - np.repeat(grow, sizes)
+        wrong = data[np.repeat(starts[a], sizes) + inner] != data[np.repeat(starts[b], sizes) + inner]
+        out[many[np.unique(np.repeat(np.arange(len(many)), sizes)[wrong])]] = True
+    return out
+
+
 def _runs(marked: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and end of each stretch that neighbouring marked windows of one document cover."""
     at = np.flatnonzero(marked)
@@ -184,12 +213,14 @@ def _candidates(width: int, block: int, buckets: int):
             if not len(places):
                 continue
             windows = runs_of(hashes, width, 1)[places]
+            check = runs_of(Spans(data, 1)(starts, ends), width, 2)[places]
             order, cut = _deal(windows, buckets)
             out, first = [], bounds[:-1][owner]
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[k] : cut[k + 1]]
                 at = places[own]
-                out.append(_packed(k, False, keys, sames, owner[at], windows[own], at - first[at]))
+                both = np.stack([windows[own], check[own]], axis=1)
+                out.append(_packed(k, False, keys, sames, owner[at], both, at - first[at]))
             yield pa.RecordBatch.from_pylist(out, _PACK)
 
     return run
@@ -198,9 +229,10 @@ def _candidates(width: int, block: int, buckets: int):
 def _repeats(width: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         keys, sames, owner, hashes, at = _gathered(table.to_pylist(), np.uint64)
-        order = np.argsort(hashes, kind="stable")
+        one, two = hashes.reshape(-1, 2).T
+        order = np.lexsort((two, one))
         head = np.ones(len(order), bool)
-        head[1:] = hashes[order][1:] != hashes[order][:-1]
+        head[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         earliest = np.minimum.reduceat(keys[owner[order]], np.flatnonzero(head))[np.cumsum(head) - 1]
         later = order[keys[owner[order]] > earliest]
         return pa.Table.from_pylist(packed(shards, "span", keys, sames, owner[later], at[later], at[later] + width), PACK)
@@ -245,8 +277,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Words are runs without white space. A word goes if a window that covers it also starts in a
     document with a smaller key; windows are those of the input. Keys are whole numbers; a null key
     comes after all others. Rows with equal keys do not remove each other's words. Null and empty
-    texts have no words. Other columns are not read. Windows are equal if their 64-bit hashes within
-    a bucket of hashes are.
+    texts have no words. Other columns are not read. Windows of different tasks are equal if 128 bits
+    of two independent hashes are, those of one task if their bytes are.
     """
     block = block or (width + 1) // 2
     if width < 2 * block - 1:

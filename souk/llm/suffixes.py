@@ -12,7 +12,8 @@ bucket of its own first byte. Then neighbours in the order are compared; a commo
 bytes makes both repeats.
 
 A hash in more than `limit` places would make a group too large for a task. The windows of such
-hashes are counted by their own hash instead, summed by task before they are sent.
+hashes are counted by 128 bits of their own instead, summed by task before they are sent. Stretches
+that a task finds equal among its own texts are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.rawtext import Spans, chunks
+from souk.llm.rawtext import Spans, chunks, grams
 from souk.llm.spread import PACK, PACK_DDL, merged, packed
 from souk.llm.store import stored
 
@@ -140,12 +141,11 @@ def _least(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     n = len(data)
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    begin = np.arange(n - GRAM + 1)
-    grams = Spans(data)(begin, begin + GRAM) | np.uint64(1)
-    least = _slide(grams, length - GRAM + 1, True)
+    hashes = grams(data, GRAM) | np.uint64(1)
+    least = _slide(hashes, length - GRAM + 1, True)
     end = np.repeat(offsets[1:], np.diff(offsets))
     least[np.arange(len(least)) + length > end[: len(least)]] = 0
-    return grams, least
+    return hashes, least
 
 
 _PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), *((c, pa.binary()) for c in ("keys", "sames", "counts", "values", "n", "at", "to", "bytes"))])
@@ -183,17 +183,32 @@ def _tallied(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, n.astype(np.uint32), n[back] > 1
 
 
+def _same_bytes(data: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _tallied(), for stretches of bytes: those of one hash are compared byte by byte with the first of it."""
+    values = Spans(data, 1)(first, end) if hashes is None else hashes
+    raw = data.data
+    while True:
+        _, one, back, n = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        twins = np.flatnonzero((n[back] > 1) & (one[back] != np.arange(len(values))))
+        a, b, c, d = (x.tolist() for x in (first[twins], end[twins], first[one[back[twins]]], end[one[back[twins]]]))
+        other = [t for t, i, j, k, m in zip(twins.tolist(), a, b, c, d, strict=True) if raw[i:j] != raw[k:m]]
+        if not other:
+            return one, n.astype(np.uint32), n[back] > 1
+        values = values.copy()
+        values[other] = values[other] * np.uint64(3) + np.uint64(1)  # the same for equal bytes
+
+
 def _anchors(length: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, width = 0, length - GRAM + 1
         for part, data, offsets in chunks(batches, "text", CHUNK):
-            grams, least = _least(data, offsets, length)
+            hashes, least = _least(data, offsets, length)
             if not least.any():
                 continue
             edge = np.zeros(width - 1, np.uint64)
             most = _slide(np.concatenate([edge, least, edge]), width, False)
-            places = np.flatnonzero((grams == most) & (most > 0))
-            values, owner = grams[places], np.searchsorted(offsets, places, "right") - 1
+            places = np.flatnonzero((hashes == most) & (most > 0))
+            values, owner = hashes[places], np.searchsorted(offsets, places, "right") - 1
             docs = _Docs(part)
             one, n, again = _tallied(values)
             out = []
@@ -215,10 +230,11 @@ def _rows(rows: list[dict]):
 
 
 def _twice(rows: list[dict], limit: int | None = None):
-    """Of the probes whose value occurs again: keys, text hashes, and for each the document, value and
-    place; and the values in more than `limit` places."""
+    """Of the probes whose value (and second hash, if they have one) occurs again: keys, text hashes, and for
+    each the document, value and place; and the values in more than `limit` places."""
     keys, sames, owner, values, n, at = _rows(rows)
-    _, back = np.unique(values, return_inverse=True)
+    check = np.concatenate([np.frombuffer(r["to"], np.uint64) for r in rows])
+    back = np.unique(np.stack([values, check], axis=1), axis=0, return_inverse=True)[1].ravel() if len(check) else np.unique(values, return_inverse=True)[1]
     total = np.bincount(back, n)[back]
     ask = np.flatnonzero((total > 1) & (n == 1))
     hot = np.unique(values[total > limit]) if limit is not None else values[:0]
@@ -261,8 +277,7 @@ def _segments(length: int, buckets: int):
             cold, hot = (_among(values, owner, part.column(c)) for c in ("cold", "hot"))
 
             at = np.flatnonzero(cold)
-            spans = Spans(data, 1)(first[at], last[at] + length) ^ values[at]
-            one, n, again = _tallied(spans)
+            one, n, again = _same_bytes(data, first[at], last[at] + length)
             if again.any():
                 twin = at[again]
                 local.append((owner[twin], first[twin], last[twin] + length))
@@ -276,12 +291,13 @@ def _segments(length: int, buckets: int):
             at = np.flatnonzero(hot)
             if len(at):
                 places = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
-                windows, whose = Spans(data, 1)(places, places + length), owner_of[places]
-                one, n, again = _tallied(windows)
+                whose = owner_of[places]
+                windows, check = (Spans(data, seed)(places, places + length) for seed in (1, 2))
+                one, n, again = _same_bytes(data, places, places + length, windows)
                 local.append((whose[again], places[again], places[again] + length))
                 for k, of in _deal(windows[one], buckets):
                     pick = one[of]
-                    out.append(docs.pack(k, "window", whose[pick], values=windows[pick], n=n[of], at=places[pick] - offsets[whose[pick]]))
+                    out.append(docs.pack(k, "window", whose[pick], values=windows[pick], n=n[of], at=places[pick] - offsets[whose[pick]], to=check[pick]))
             if local:
                 whose, a, b = (np.concatenate(x) for x in zip(*local, strict=True))
                 out.append(docs.pack(turn % buckets, "local", whose, at=a - offsets[whose], to=b - offsets[whose]))
