@@ -29,6 +29,7 @@ from souk.llm.store import stored
 CHUNK = 4_000_000  # bytes of text that a task takes at once
 BUCKET = 16_000_000  # bytes of text for each bucket
 LAST = np.iinfo(np.int64).max  # stands for a null key
+_TWO = np.dtype([("one", np.uint64), ("two", np.uint32)])  # of a window: two independent hashes
 
 _PACK = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), *((c, pa.binary()) for c in ("keys", "sames", "counts", "hashes", "at", "to"))])
 _PACK_DDL = "bucket int, local boolean, keys binary, sames binary, counts binary, hashes binary, at binary, to binary"
@@ -213,13 +214,14 @@ def _candidates(width: int, block: int, buckets: int):
             if not len(places):
                 continue
             windows = runs_of(hashes, width, 1)[places]
-            check = runs_of(Spans(data, 1)(starts, ends), width, 2)[places]
+            check = (runs_of(Spans(data, 1)(starts, ends), width, 2)[places] >> np.uint64(32)).astype(np.uint32)
             order, cut = _deal(windows, buckets)
             out, first = [], bounds[:-1][owner]
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[k] : cut[k + 1]]
                 at = places[own]
-                both = np.stack([windows[own], check[own]], axis=1)
+                both = np.empty(len(own), _TWO)
+                both["one"], both["two"] = windows[own], check[own]
                 out.append(_packed(k, False, keys, sames, owner[at], both, at - first[at]))
             yield pa.RecordBatch.from_pylist(out, _PACK)
 
@@ -228,8 +230,8 @@ def _candidates(width: int, block: int, buckets: int):
 
 def _repeats(width: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        keys, sames, owner, hashes, at = _gathered(table.to_pylist(), np.uint64)
-        one, two = hashes.reshape(-1, 2).T
+        keys, sames, owner, hashes, at = _gathered(table.to_pylist(), _TWO)
+        one, two = np.ascontiguousarray(hashes["one"]), np.ascontiguousarray(hashes["two"])
         order = np.lexsort((two, one))
         head = np.ones(len(order), bool)
         head[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -277,7 +279,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Words are runs without white space. A word goes if a window that covers it also starts in a
     document with a smaller key; windows are those of the input. Keys are whole numbers; a null key
     comes after all others. Rows with equal keys do not remove each other's words. Null and empty
-    texts have no words. Other columns are not read. Windows of different tasks are equal if 128 bits
+    texts have no words. Other columns are not read. Windows of different tasks are equal if 96 bits
     of two independent hashes are, those of one task if their bytes are.
     """
     block = block or (width + 1) // 2
