@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.parts import AS_OF_SQL, LABELS, NOW_SQL, PARTS, _seller_labels
-from checks.sqltext import A, E, N, P, R, SUM, case, compose, day, moment, texted
+from checks.sqltext import _NAME, A, E, N, P, R, SUM, case, compose, day, moment, texted
 from souk.plans import alerts, enrichment, merge
 from souk.registry import NAMED_SELLERS, ONE_CUSTOMER
 from souk.sources import testdata
@@ -381,6 +381,35 @@ O["job17_refresh_after_writeback"] = (
     f"AS order_value, {day('max(order_date)')} AS last_order, count(*) AS seller_orders FROM {_all}"
 )
 
+def after_writeback(name: str) -> str:
+    """A named part over the base orders and mapping with the merged ones added."""
+    renamed = {"m_orders": "m_orders_more", "m_mapping": "m_mapping_more"}
+    while more := {
+        n: f"{n}_more"
+        for n, text in PARTS.items()
+        if n != "m_merged" and n not in renamed and not n.endswith("_more") and set(_NAME.findall(text)) & renamed.keys()
+    }:
+        renamed |= more
+    for old, new in renamed.items():
+        PARTS.setdefault(new, _NAME.sub(lambda m: renamed.get(m[0], m[0]), PARTS[old]))
+    return renamed[name]
+
+
+PARTS["m_orders_more"] = f"SELECT * FROM m_orders UNION ALL BY NAME ({texted('m_merged', drop=['event_id', 'seller_id'])})"
+PARTS["m_mapping_more"] = (
+    "SELECT * FROM m_mapping UNION ALL SELECT customer_id, order_id, product_id, category, seller_id FROM m_merged"
+)
+O["job17_incremental_refresh"] = texted(after_writeback("m_gold_customer"), GOLD_DAYS, ["created_at"])
+O["job17_incremental_sellers"] = texted(after_writeback("m_gold_seller"), SELLER_DAYS, ["created_at"])
+O["job17_incremental_scores"] = f"SELECT * FROM {after_writeback('m_rfm')}"
+O["job17_incremental_customer_forecast"] = texted(after_writeback("m_fc"), moments=["forecast_generated_at"])
+O["job17_incremental_seller_forecast"] = texted(after_writeback("m_fs"), moments=["forecast_generated_at"])
+O["agg02_merged_distincts"] = (
+    "SELECT seller_id, count(DISTINCT order_id) AS unique_orders, count(DISTINCT customer_id) AS unique_customers, "
+    "count(DISTINCT product_id) AS unique_products_sold, count(DISTINCT category) AS unique_categories_sold, "
+    "count(DISTINCT brand) AS unique_brands_sold FROM m_sold GROUP BY seller_id"
+)
+
 # -- labels -----------------------------------------------------------------------------------------
 
 for _key, _label in {

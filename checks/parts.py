@@ -64,12 +64,12 @@ _order_facts = {
     "total_refund_amount": E("refund_amount"),
     "return_rate_pct": P(N("is_returned"), "count(*)"),
     "cancellation_rate_pct": P(N("is_cancelled"), "count(*)"),
-    "cod_orders": N("payment_type = 'COD'"),
-    "upi_orders": N("payment_type = 'UPI'"),
-    "card_orders": N("payment_type = 'Card'"),
-    "wallet_orders": N("payment_type = 'Wallet'"),
+    "cod_orders": N("lower(payment_type) = 'cod'"),
+    "upi_orders": N("lower(payment_type) = 'upi'"),
+    "card_orders": N("lower(payment_type) = 'card'"),
+    "wallet_orders": N("lower(payment_type) = 'wallet'"),
     "cod_pct": P(N("cod_flag"), "count(*)"),
-    "delivered_orders": N("order_status = 'delivered'"),
+    "delivered_orders": N("lower(order_status) = 'delivered'"),
     "avg_delivery_days": "avg(delivery_time_days)",
     "avg_customer_rating": "avg(customer_rating)",
     "high_rto_risk_orders": N("high_rto_risk_flag"),
@@ -294,11 +294,11 @@ _seller_orders = {
     "actual_return_rate_pct": P(N("is_returned"), "count(*)"),
     "actual_cancel_rate_pct": P(N("is_cancelled"), "count(*)"),
     "cod_orders": N("cod_flag"),
-    "upi_orders": N("payment_type = 'UPI'"),
-    "card_orders": N("payment_type = 'Card'"),
-    "wallet_orders": N("payment_type = 'Wallet'"),
+    "upi_orders": N("lower(payment_type) = 'upi'"),
+    "card_orders": N("lower(payment_type) = 'card'"),
+    "wallet_orders": N("lower(payment_type) = 'wallet'"),
     "cod_pct": P(N("cod_flag"), "count(*)"),
-    "delivered_orders": N("order_status = 'delivered'"),
+    "delivered_orders": N("lower(order_status) = 'delivered'"),
     "avg_delivery_days_actual": "avg(delivery_time_days)",
     "avg_customer_rating_actual": "avg(customer_rating)",
     "high_rto_risk_orders": N("high_rto_risk_flag"),

@@ -175,16 +175,18 @@ def seller_top_values(sold: DataFrame) -> DataFrame:
 
 
 def seller_customer_metrics(
-    customers: DataFrame, mapping: DataFrame, per_customer: bool = False
+    customers: DataFrame, mapping: DataFrame, per_customer: bool = False, counted: str | None = None
 ) -> DataFrame:
     """Customer mix per seller.
 
     Averages and tier counts are weighted by mapping rows, so the high-value
     percentage can exceed 100; ``per_customer=True`` counts each customer of a
     seller once instead.  The mapping is first reduced to (seller, customer)
-    pairs, which keeps the customer join free of repeated rows.
+    pairs, which keeps the customer join free of repeated rows; ``counted``
+    names a column of such pairs that already has their number.
     """
-    pairs = mapping.groupBy(KEY, "customer_id").agg(F.count("*").alias("n"))
+    rows = F.sum(counted) if counted else F.count("*")
+    pairs = mapping.groupBy(KEY, "customer_id").agg(rows.alias("n"))
     if per_customer:
         pairs = pairs.withColumn("n", F.lit(1).cast("long"))
     scores = {

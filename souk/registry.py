@@ -27,6 +27,7 @@ from souk.plans import (
     reports,
     rfm,
 )
+from souk.plans.incremental import Incremental, seller_facts, sellers
 from souk.sources import schemas
 from souk.sources.seller_json import ingest_sellers
 from souk.sources.store import Store, with_defaults
@@ -442,6 +443,43 @@ def _(e):
         "seller_orders", built["gold_seller_360"].agg(F.sum("total_orders_actual")).scalar())
 
 
+_incremental: dict[Engine, Incremental] = {}
+
+
+def _absorbed(e) -> Incremental:
+    """Marts before the write-back, then its orders in two batches, the second one twice."""
+    if e not in _incremental:
+        written = _writeback(e)
+        orders, mapping = written.read("orders_merged", schemas.ORDERS), written.read("mapping_merged", schemas.MAPPING)
+        out = Incremental(scratch(e), e.table("customers"), e.as_of, e.now)
+        marts = {n: e.table(n) for n in (*Incremental.MARTS, "rfm_segments")}
+        out.start(e.table("orders"), e.table("customer_seller_mapping"), marts)
+        for epoch, half in ((1, "order_id % 2 = 0"), (2, "order_id % 2 = 1"), (2, "order_id % 2 = 1")):
+            out.absorb(orders.where(half), mapping.where(half), epoch)
+        _incremental[e] = out
+    return _incremental[e]
+
+
+add("job17_incremental_refresh", lambda e: _absorbed(e).mart("gold_customer_360"))
+for _key, _mart in {
+    "job17_incremental_sellers": "gold_seller_360",
+    "job17_incremental_scores": "rfm_segments",
+    "job17_incremental_customer_forecast": "forecast_customer_outlook",
+    "job17_incremental_seller_forecast": "forecast_seller_outlook",
+}.items():
+    add(_key, lambda e, m=_mart: _absorbed(e).mart(m))
+
+
+@query("agg02_merged_distincts")
+def _(e):
+    """Distinct counts of sellers out of the merged states of two halves of their orders."""
+    sold, side = e.table("seller_orders"), sellers()
+    halves = [side.start(sold.where(f"order_id % 2 = {half}")) for half in (0, 1)]
+    out = seller_facts({n: halves[0][n].unionByName(halves[1][n]) for n in halves[0]})
+    return out.select("seller_id", "unique_orders", "unique_customers", "unique_products_sold",
+                      "unique_categories_sold", "unique_brands_sold")
+
+
 class _Stored:
     """Base tables of an engine offered as a source for another one."""
 
