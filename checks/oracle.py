@@ -478,8 +478,10 @@ O["str04_seller_activity"] = texted("m_sact", moments=["last_event_time"])
 O["str04_stream_seller_activity"] = O["str04_seller_activity"]
 LIVE_MOMENTS = ["last_realtime_event", "last_refreshed_at"]
 O["str05_customer_live"] = texted("m_cl", moments=LIVE_MOMENTS)
+O["str05_changed_buckets_customer_live"] = O["str05_customer_live"]
 O["str05_stream_customer_live"] = O["str05_customer_live"]
 O["str06_seller_live"] = texted("m_sl", moments=LIVE_MOMENTS)
+O["str06_changed_buckets_seller_live"] = O["str06_seller_live"]
 O["str06_stream_seller_live"] = O["str06_seller_live"]
 O["str07_run_when_data_arrives"] = "SELECT 0 AS run, count(*) AS events FROM m_events"
 O["str08_standing_query"] = "SELECT count(*) AS events FROM m_events"

@@ -32,7 +32,7 @@ from souk.operators.mergeable import (
     total,
 )
 from souk.plans import enrichment, forecast_customer, forecast_seller, gold_customer, gold_seller, rfm
-from souk.sources.buckets import Bucketed, touched
+from souk.sources.buckets import BUCKETS, Bucketed, touched
 from souk.sources.store import Store
 
 
@@ -223,8 +223,8 @@ class Incremental:
     MARTS = ("gold_customer_360", "customer_ai_360", "forecast_customer_outlook",
              "gold_seller_360", "seller_enriched", "forecast_seller_outlook")
 
-    def __init__(self, store: Store, customers_: DataFrame, as_of: str, now: str):
-        self.store, self.people, self.as_of, self.now = store, customers_, as_of, now
+    def __init__(self, store: Store, customers_: DataFrame, as_of: str, now: str, buckets: int = BUCKETS):
+        self.store, self.people, self.as_of, self.now, self.buckets = store, customers_, as_of, now, buckets
         self.sides = {"customer": customers(), "seller": sellers()}
         self.tables: dict[str, Bucketed] = {}
 
@@ -238,7 +238,7 @@ class Incremental:
 
     def _table(self, name: str, key: str, like: DataFrame) -> Bucketed:
         if name not in self.tables:
-            self.tables[name] = Bucketed(self.store, name, key, like.schema)
+            self.tables[name] = Bucketed(self.store, name, key, like.schema, self.buckets)
         return self.tables[name]
 
     def _append(self, orders: DataFrame, mapping: DataFrame, epoch: int) -> None:
@@ -270,7 +270,7 @@ class Incremental:
         self.tables[name].replace(df, run)
 
     def _customers(self, orders: DataFrame, run: str) -> dict[str, list[int]]:
-        new = touched(orders, "customer_id")
+        new = touched(orders, "customer_id", self.buckets)
         if not new:
             return {}
         gold, ai = self.tables["gold_customer_360"], self.tables["customer_ai_360"]
@@ -284,13 +284,13 @@ class Incremental:
         old = before.toDF(*[f"_{c}" for c in before.columns])
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in before.columns]
         moved = self.rfm.join(old, same, "left_anti")
-        changed = sorted({*new, *touched(moved, "customer_id")})
+        changed = sorted({*new, *touched(moved, "customer_id", self.buckets)})
         forecast = forecast_customer.forecast_customer_outlook(ai.read(changed), self.rfm, self.as_of, self.now)
         self._replace("forecast_customer_outlook", forecast, run)
         return {"gold_customer_360": new, "customer_ai_360": new, "forecast_customer_outlook": changed}
 
     def _sellers(self, mapping: DataFrame, run: str) -> dict[str, list[int]]:
-        new = touched(mapping, "seller_id")
+        new = touched(mapping, "seller_id", self.buckets)
         if not new:
             return {}
         gold, keys = self.tables["gold_seller_360"], mapping.select("seller_id").distinct()

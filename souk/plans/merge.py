@@ -10,7 +10,8 @@ from souk.functions.ladders import choose
 from souk.functions.nulls import greatest_n, iff
 from souk.operators.joins import not_in, split_join
 from souk.operators.ranks import Asc, global_row_number
-from souk.sources.schemas import EVENT_LEDGER, MAPPING, ORDERS
+from souk.sources.buckets import Bucketed, touched
+from souk.sources.schemas import EVENT_LEDGER, MAPPING, MERGED_IDS, ORDERS
 from souk.sources.store import Store, conform
 
 # Pick lists of the merged attributes, in hash order.
@@ -154,16 +155,26 @@ def merge_epoch(
     Orders and mapping are written first and the ledger last, each in the
     batch's own folder.  A batch that fails halfway is simply run again: it
     ignores its own earlier output and rewrites it.  Events that any other
-    batch has merged are left out.  ``last_base_id`` is the
-    highest id of the base orders, so a batch only looks at merged orders.
+    batch has merged are left out.  ``last_base_id`` is the highest id of the
+    base orders; the highest merged one is kept per batch, so no orders are read.
     """
-    ledger = store.read_except("realtime_events_merged", epoch, EVENT_LEDGER)
-    earlier = store.read_except("orders_merged", epoch, ORDERS)
-    fresh = store.replace(f"_fresh/{epoch}", unmerged(events, ledger))
-    last = F.greatest(F.lit(last_base_id), max_id(earlier))
+    ledger = ledger_of(store)
+    seen = ledger.read_batches(touched(events, "event_id", ledger.buckets), without=epoch)
+    # Semi join first: the ledger is cut down to the batch's ids (by a runtime Bloom
+    # filter of them, where the ledger is large) before anything of it is shuffled.
+    seen = seen.join(events.select("event_id"), "event_id", "left_semi")
+    fresh = store.replace(f"_fresh/{epoch}", unmerged(events, seen))
+    earlier = store.read_except("merged_ids", epoch, MERGED_IDS).agg(F.max("last_id")).first()[0]
+    last = F.lit(max(last_base_id, earlier or 0))
     numbered = numbered_events(fresh, customers, store, f"merge-{epoch}")
     full = store.replace(f"_merged/{epoch}", merged_orders(numbered, last))
     store.append("orders_merged", order_rows(full), epoch)
     store.append("mapping_merged", mapping_rows(full), epoch)
     store.append("events_rejected", rejects(fresh, full), epoch)
-    store.append("realtime_events_merged", fresh.select("event_id"), epoch)
+    store.append("merged_ids", full.agg(F.max("order_id").alias("last_id")), epoch)
+    ledger.append(fresh.select("event_id"), epoch)
+
+
+def ledger_of(store: Store) -> Bucketed:
+    """Ids of merged events, in buckets: a batch reads those that its own ids fall into."""
+    return Bucketed(store, "realtime_events_merged", "event_id", EVENT_LEDGER)

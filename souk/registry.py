@@ -34,6 +34,7 @@ from souk.sources.store import Store, with_defaults
 from souk.sources.testdata import AS_OF
 from souk.streaming import changes, windows
 from souk.streaming.activity import ActivityJobs
+from souk.streaming.live import run_live_customers, run_live_sellers
 from souk.streaming.writeback import run_writeback
 
 ONE_CUSTOMER = 7  # the customer shown in the self-service lookups
@@ -451,7 +452,7 @@ def _absorbed(e) -> Incremental:
     if e not in _incremental:
         written = _writeback(e)
         orders, mapping = written.read("orders_merged", schemas.ORDERS), written.read("mapping_merged", schemas.MAPPING)
-        out = Incremental(scratch(e), e.table("customers"), e.as_of, e.now)
+        out = Incremental(scratch(e), e.table("customers"), e.as_of, e.now, buckets=16)
         marts = {n: e.table(n) for n in (*Incremental.MARTS, "rfm_segments")}
         out.start(e.table("orders"), e.table("customer_seller_mapping"), marts)
         for epoch, half in ((1, "order_id % 2 = 0"), (2, "order_id % 2 = 1"), (2, "order_id % 2 = 1")):
@@ -594,6 +595,10 @@ def _streamed_live(e):
         e.table("forecast_customer_outlook"), e.table("forecast_seller_outlook"), e.now)
 
 
+add("str05_changed_buckets_customer_live", lambda e: run_live_customers(
+    e.spark, _landing(e), scratch(e), e.table("forecast_customer_outlook"), e.now, buckets=16).read())
+add("str06_changed_buckets_seller_live", lambda e: run_live_sellers(
+    e.spark, _landing(e), scratch(e), e.table("forecast_seller_outlook"), e.now, buckets=16).read())
 add("str05_stream_customer_live", lambda e: _streamed_live(e)[0])
 add("str06_stream_seller_live", lambda e: _streamed_live(e)[1])
 

@@ -139,6 +139,7 @@ ORDER_EVENTS = _columns(
 )
 
 EVENT_LEDGER = _columns("event_id bigint")
+MERGED_IDS = _columns("last_id bigint")
 
 # Raw event files as delivered.
 RAW_EVENTS = _columns(

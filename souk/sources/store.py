@@ -89,8 +89,15 @@ class Store:
             if schema is None:
                 raise FileNotFoundError(f"table {name} has no committed data")
             return self.spark.createDataFrame([], schema)
+        return self._rows(name, folders, schema)
+
+    def _rows(self, name: str, folders: list[str], schema: T.StructType | None) -> DataFrame:
+        """Rows of some folders; batches may lie in buckets, whose number is no column of the table."""
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(*[self.path(name, f) for f in folders])
+        if any(f.startswith("v=") for f in folders):
+            return reader.parquet(*[self.path(name, f) for f in folders])
+        rows = reader.option("basePath", self.path(name)).parquet(*[self.path(name, f) for f in folders])
+        return rows.select(*schema.names) if schema is not None else rows.drop("epoch", "_bucket")
 
     def current(self, name: str) -> str:
         """Folder of the newest committed version, for use as a stream source."""
@@ -138,7 +145,7 @@ class Store:
         folders = self._complete(name, "v=")[-1:] + [f"epoch={e}" for e in epochs]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self.path(name, f) for f in folders])
+        return self._rows(name, folders, schema)
 
 
 def typed_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
