@@ -308,5 +308,30 @@ def test_encoder_equals_the_library():
     encoder, model, rnd = tokens.Encoder(byte_bpe()), Tokenizer.from_str(byte_bpe()), random.Random(3)
     signs = "ab'sdmreltvx1 2½²  \n\t\x85\xa0\x1cßéÉʼ.,!_-ǅªº<|> 中😀"
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14))) + rnd.choice([""] * 20 + ["<|endoftext|>"]) for _ in range(5000)]
-    for text, ids in zip(texts, encoder(texts), strict=True):
-        assert np.frombuffer(ids, "<i4").tolist() == model.encode(text, add_special_tokens=False).ids
+    check_encoder(encoder, model, texts)
+    encoder.memory.BITS = 4  # a table that must grow at once, and be emptied
+    encoder.memory.clear()
+    check_encoder(encoder, model, texts[:500])
+    check_encoder(encoder, model, [])
+    check_encoder(encoder, model, ["", "word " * 30_000 + "end", "", "\u3000 a\u2003  b\n"])
+
+
+def check_encoder(encoder, model, texts):
+    import pyarrow as pa
+
+    from souk.llm.rawtext import texts as flat
+
+    data, offsets = flat(pa.array(texts, pa.string()))
+    ids, counts = encoder(data, offsets - offsets[0])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == [model.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_encoder_of_a_model_with_another_rule():
+    import public_tokenizers
+
+    text = byte_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    encoder, model = tokens.Encoder(text), Tokenizer.from_str(text)
+    assert not encoder.known_rule
+    check_encoder(encoder, model, ["It's  a Test", "", "Ünd 12 语"])
