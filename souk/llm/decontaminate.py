@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from souk.llm.columns import renamed, restored
 from souk.llm.rawtext import ALNUM, LOWER, Lookup, Spans, chunks, room, runs_of, strings, words
 from souk.llm.store import stored
 
@@ -185,13 +186,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """All columns of the documents that no benchmark window occurs in."""
-    hit = benchmark_hits(docs, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("_hit_key"), F.col("same").alias("_hit_same")).distinct()
+    """All columns of the documents that no benchmark window occurs in, repeated rows as often as they occur.
+
+    Null and empty texts stay, null keys are keys like any other, an empty benchmark keeps all, an empty
+    table gives no rows. Columns of any name are handed on unchanged.
+    """
+    own, names = renamed(docs)
+    key, text = names[key], names[text]
+    hit = benchmark_hits(own, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("hit_key"), F.col("same").alias("hit_same")).distinct()
     hit = stored(hit)
     few = F.broadcast(hit) if hit.count() <= BLOCK else hit
-    own = docs.withColumn("_hit_text", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = own.join(few, F.col(key).eqNullSafe(F.col("_hit_key")) & (F.col("_hit_text") == F.col("_hit_same")), "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = own.withColumn("hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = own.join(few, F.col(key).eqNullSafe(F.col("hit_key")) & (F.col("hash") == F.col("hit_same")), "left_anti")
+    return restored(out, names)
 
 
 def _one_block(own: DataFrame, block: _Block, shingle: int, kind) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from souk.llm.columns import renamed, restored
 from souk.llm.store import slices, stored
 
 WEIGHTS = (5, 2, 1)
@@ -72,13 +73,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, passes: int = 3, seed: str = "mix") -> DataFrame:
-    """The documents themselves, all columns, each as often as mix() takes it."""
-    own = docs.withColumn("_mix_size", word_count(F.col(text)))
-    sizes = stored(own.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col("_mix_size").alias("size")))
-    taken = _times(sizes, weights, passes, seed).where("times > 0").select(F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_of"), F.col("times").alias("_mix_times")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_mix_key")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_size") == F.col("_mix_of"))
-    out = own.join(taken, same).withColumn("_mix_times", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents themselves, all columns, each as often as mix() takes it.
+
+    Documents without words, null and empty texts too, take nothing and so go; a null source mixes like
+    any other, null keys and repeated rows queue as mix() says. An empty table gives no rows. Columns of
+    any name are handed on unchanged.
+    """
+    own, names = renamed(docs)
+    key, text, source = names[key], names[text], names[source]
+    own = own.withColumn("words", word_count(F.col(text)))
+    sizes = stored(own.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col("words").alias("size")))
+    taken = _times(sizes, weights, passes, seed).where("times > 0").select("key", "source", "size", "times").distinct()
+    same = F.col(key).eqNullSafe(F.col("key")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return restored(own.join(taken, same).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))), names)
 
 
 def _times(sizes: DataFrame, weights: Sequence[float], passes: int, seed: str) -> DataFrame:

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from souk.llm.columns import renamed, restored
 from souk.llm.components import components
 from souk.llm.rawtext import ALNUM, LOWER, Spans, chunks, mixed, room, runs_of, words
 from souk.llm.store import stored
 
 BLOCK = 512  # texts in a block; a task holds two
 GROUP = 2_000  # texts of small parts verified together
+NGRAMS = 1_000_000  # n-grams in a block or a group, but for single texts with more
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -89,7 +91,7 @@ def _sign(size: int, bands: int, rows: int, schema: pa.Schema):
     return run
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int, q: int, wide: int = 1 << 14) -> np.ndarray:
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int, q: int, wide: int = 1 << 13) -> np.ndarray:
     """Whether the sets at `left` and `right` overlap by p/q of their union or more, for every pair."""
     sizes = np.array([len(s) for s in sets])
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -181,19 +183,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     signed = stored(own.mapInArrow(_sign(size, bands, rows, arrow), schema))
 
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "same")).alias("first")
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     edges = banded.join(hubs, ["band", "value"]).where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     parts = stored(components(edges).withColumnRenamed("root", "part"))
 
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    total = parts.count()
-    few = max(1, -(-total // GROUP))
+    sizes = parts.join(classes.select("node", "n"), "node").groupBy("part")
+    sizes = stored(sizes.agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / NGRAMS).alias("size"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("ngrams")))
+    total = sizes.where("size <= 1").agg(F.sum("texts").alias("texts"), F.sum("ngrams").alias("ngrams")).first()
+    few = max(1, -(-(total.texts or 0) // GROUP), -(-(total.ngrams or 0) // NGRAMS))
     wanted = classes.join(parts, "node").join(sizes, "part").select("node", "part", "size", "copies", "d1", "d2", F.col("first.key").alias("_key"), F.col("first.same").alias("_same"))
     texts = own.join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("same") == F.col("_same")))
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil("size").cast("int")
     side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     texts = texts.withColumn("blocks", blocks).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(few))).otherwise(-1 - F.col("part"))
@@ -212,13 +215,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns of one document of each group: of those with the smallest key, the one with the
-    smallest hash of its text. Documents without words stay."""
-    found = near_duplicates(docs, key, text, **options).withColumnRenamed(key, "key")
+    smallest hash of its text. Of repeated rows one stays.
+
+    Documents without words, null and empty texts too, are linked to nothing and all stay, repeated ones as
+    often as they occur. Null keys come after all others; a group of null keys alone keeps one of them. An
+    empty table gives no rows. Columns of any name are handed on unchanged.
+    """
+    mine, names = renamed(docs)
+    key, text = names[key], names[text]
+    found = near_duplicates(mine, key, text, **options).withColumnRenamed(key, "key")
     rows = found.groupBy("group", "key", "same").agg(F.count(F.lit(1)).alias("rows"))
     of = F.min(F.struct(F.col("key").isNull(), "key", "same", "rows")).alias("of")
     best = rows.where("group is not null").groupBy("group").agg(of).select("of.key", "of.same", "of.rows")
-    keep = stored(best.unionByName(rows.where("group is null").select("key", "same", F.lit(1).cast("bigint").alias("rows")))).toDF("_dup_key", "_dup_same", "_dup_rows")
-    mine = docs.withColumn("_dup_text", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    kept = mine.join(keep, F.col(key).eqNullSafe(F.col("_dup_key")) & (F.col("_dup_text") == F.col("_dup_same")))
-    once = kept.where("_dup_rows > 1").dropDuplicates(["_dup_key", "_dup_text"])
-    return kept.where("_dup_rows = 1").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = stored(best.unionByName(rows.where("group is null").select("key", "same", F.lit(1).cast("bigint").alias("rows"))))
+    mine = mine.withColumn("hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    kept = mine.join(keep, F.col(key).eqNullSafe(F.col("key")) & (F.col("hash") == F.col("same")))
+    once = kept.where("rows > 1").dropDuplicates(["key", "hash"])
+    return restored(kept.where("rows = 1").unionByName(once), names)

@@ -26,14 +26,24 @@ def kept(name: Any, make: Callable[[], Any]) -> Any:
 
 
 def kept_one(name: Any, make: Callable[[], Any]) -> Any:
-    """As kept(), for large caches: a Python process holds one of them, the last asked for."""
+    """As kept(), for large caches: a Python process holds one of them, for the task that asks for it
+    before it reads its texts, and drops it when a task reads texts that has not asked."""
     box = kept("one", dict)
     if name not in box:
         box.clear()
         box[name] = make()
+    kept("asked", set).add(name)
     return box[name]
 
 
+def _begin() -> None:
+    asked = kept("asked", set)
+    if not asked and kept("one", dict):
+        kept("one", dict).clear()
+        give_back()
+    asked.clear()
+
+
 def give_back() -> None:
     """Returns memory that was freed to the system; workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()
@@ -71,6 +81,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, their bytes, and offsets from 0."""
+    _begin()
     for batch in batches:
         data, offsets = texts(batch.column(column))
         at, n = 0, batch.num_rows
@@ -83,6 +94,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
 
 def text_lists(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches with about `limit` bytes of text, and their texts."""
+    _begin()
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0

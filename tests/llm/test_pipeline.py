@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from souk.llm import neardup
 from souk.llm.queries import ORACLE, QUERIES
@@ -33,3 +35,25 @@ def test_run_and_registration(spark, small):
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert neardup.near_duplicates(spark.read.parquet(f"{small}/documents.parquet")).count() == 200
+
+
+CLASHES = ("_dup_text", "_dup_rows", "_hit_text", "_hit_key", "_mix_size", "_mix_times", "hash", "group", "times", "part", "_c0", "_text")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_with_odd_rows(spark, small, name):
+    """Null keys, null, empty and very long texts, repeated rows and clashing names; then no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = cases.clash(spark.createDataFrame(cases.sample(9, 60, 20_000), cases.DOCS).repartition(3), *CLASHES)
+    out = stage(spark, docs, small)
+    if name != "token_output":
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r[c] for r in rows for c in CLASHES} <= {"other"}
+        before = {(r.doc_id, r.text, r.source) for r in docs.collect()}
+        assert rows and {(r.doc_id, r.text, r.source) for r in rows} <= before
+        wordless = [r for r in rows if not cases.low_words(r.text)]
+        assert bool(wordless) == (name in ("ngram_jaccard_join", "benchmark_decontamination"))
+    else:
+        assert out.count() == docs.count()
+    assert stage(spark, docs.where("false"), small).collect() == []
