@@ -12,27 +12,38 @@ from souk.llm.store import fresh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; those without letters go."""
+    """Documents in a language that is known, all columns; a null language is filled in.
+
+    Texts without letters, null and empty ones too, go. Repeated rows, null keys and ties are judged by the
+    text alone. An empty table gives no rows; so does one without any labelled text to learn from.
+    """
     return language.accepted(docs, language_model(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, all columns: the smallest key, then the smallest hash of the
+    text. Null keys come last. Texts without words all stay. An empty table gives no rows."""
     return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs, all columns. Null and empty texts, null keys and repeated
+    rows stay as they are. An empty table gives no rows."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, all columns. A null source is a source, texts
+    without words take nothing, ties queue by key and size. An empty table gives no rows."""
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents; a row with place, length and checksum for each, read from the files."""
+    """Token files of all documents; a row with place, length and checksum for each, read from the files.
+
+    A null text counts as empty and has its end id; null keys come first, repeated rows follow each other. An
+    empty table gives no rows.
+    """
     path = fresh(spark, "pipeline-tokens")
     tokens.write_tokens(docs, path, byte_bpe())
     return tokens.checksums(tokens.read_tokens(spark, path))
