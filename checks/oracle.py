@@ -422,6 +422,19 @@ for _key, _label in {
     "ai14_marketing_strategy": "marketing_strategy",
 }.items():
     O[_key] = f"SELECT customer_id, {LABELS[_label]} AS {_label} FROM m_gold_customer"
+def _cut(measure: str) -> str:
+    """Value of the first rank that has the measure's share of all known values at or below it."""
+    return (
+        f"(SELECT {measure} FROM (SELECT {measure}, row_number() OVER (ORDER BY {measure}) AS place, count(*) OVER () AS n "
+        f"FROM m_gold_customer WHERE {measure} IS NOT NULL) WHERE place = greatest(1, ceil({enrichment.PERSONA_SHARES[measure]} * n)))"
+    )
+
+
+O["ai01_persona_by_share"] = (
+    f"SELECT customer_id, CASE WHEN cod_pct > {_cut('cod_pct')} THEN 'Risky COD Buyer' WHEN discount_sensitivity_score > "
+    f"{_cut('discount_sensitivity_score')} THEN 'Discount Hunter' WHEN avg_order_value > {_cut('avg_order_value')} "
+    "THEN 'Premium' ELSE 'Loyal Shopper' END AS persona FROM m_gold_customer"
+)
 O["ai03_rfm_segment_rules"] = "SELECT customer_id, extracted_value FROM m_rfm"
 O["ai07_seller_classification"] = (
     f"SELECT seller_id, {_seller_labels['seller_classification']} AS seller_classification "
@@ -433,6 +446,25 @@ O["ai09_seller_embedding"] = (
     "coalesce(most_sold_category, ''), performance_segment, growth_segment)), ' '))) AS words, "
     "1e0 AS length FROM m_gold_seller"
 )
+PARTS["m_seller_words"] = (
+    "SELECT seller_id, word, count(*) AS w FROM (SELECT seller_id, unnest(string_split(lower(concat_ws(' ', "
+    "coalesce(most_sold_category, ''), coalesce(performance_segment, ''), coalesce(growth_segment, ''))), ' ')) AS word "
+    "FROM m_gold_seller) GROUP BY seller_id, word"
+)
+PARTS["m_seller_norms"] = "SELECT seller_id, sqrt(sum(w * w)) AS norm FROM m_seller_words GROUP BY seller_id"
+PARTS["m_similar_sellers"] = (
+    "SELECT a.seller_id, b.seller_id AS similar_seller, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 8) "
+    "AS similarity FROM m_seller_words a JOIN m_seller_words b ON a.word = b.word AND a.seller_id <> b.seller_id "
+    "JOIN m_seller_norms x ON x.seller_id = a.seller_id JOIN m_seller_norms y ON y.seller_id = b.seller_id GROUP BY 1, 2"
+)
+PARTS["m_five_sellers"] = (
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY similarity DESC, similar_seller) AS place "
+    "FROM m_similar_sellers) WHERE place <= 5"
+)
+O["ai09_similar_sellers"] = "SELECT seller_id, place, similar_seller, round(similarity, 6) AS similarity FROM m_five_sellers"
+O["ai09_hashed_neighbours"] = (
+    "SELECT count(DISTINCT seller_id) AS ids, count(*) AS neighbours, TRUE AS enough FROM m_five_sellers"
+)
 O["ai10_quoted_label"] = "SELECT customer_id, extracted_value AS label FROM m_rfm"
 O["ai11_identity_insights"] = (
     "SELECT customer_id, "

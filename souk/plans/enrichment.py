@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from souk.functions.ladders import ladder
 from souk.functions.nulls import clamp, or_zero
 from souk.functions.text import sentiment
+from souk.sources.store import Store
 
 # Business actions per customer, first matching row wins.
 CUSTOMER_ACTIONS = {
@@ -148,6 +149,35 @@ def customer_actions() -> dict[str, Column]:
     return actions
 
 
+# Persona by share: a customer beyond this part of all others (cuts are ours).
+PERSONA_SHARES = {"cod_pct": 0.9, "discount_sensitivity_score": 0.8, "avg_order_value": 0.8}
+ACCURACY = 100_000  # of the quantile sketch: at most one rank in so many is wrong
+
+
+def persona_cuts(gold: DataFrame, store: Store) -> dict[str, float | None]:
+    """The value below which the given share of customers lies, for each measure; null without values.
+
+    One mergeable quantile sketch for each measure in a single pass; the row of
+    cuts is stored with the mart and read back, so labels are a plain projection.
+    """
+    cuts = [F.percentile_approx(c, F.lit(p), F.lit(ACCURACY)).alias(c) for c, p in PERSONA_SHARES.items()]
+    return store.replace("persona_cuts", gold.agg(*cuts)).first().asDict()
+
+
+def persona_by_share(cuts: dict[str, float | None]) -> Column:
+    """Persona by the stored cuts; a measure without a cut decides nothing."""
+    rules = [
+        (label, [(measure, ">", cuts[measure])])
+        for label, measure in (
+            ("Risky COD Buyer", "cod_pct"),
+            ("Discount Hunter", "discount_sensitivity_score"),
+            ("Premium", "avg_order_value"),
+        )
+        if cuts[measure] is not None
+    ]
+    return ladder(rules, "Loyal Shopper") if rules else F.lit("Loyal Shopper")
+
+
 def customer_labels() -> dict[str, Column]:
     labels = {name: ladder(rules, other) for name, (rules, other) in CUSTOMER_LABELS.items()}
     labels["fraud_reason"] = reason_codes(FRAUD_DRIVERS)

@@ -14,7 +14,7 @@ from souk.functions import hashing, nulls
 from souk.functions.exact import exact_avg, exact_sum
 from souk.functions.ladders import choose, ladder
 from souk.functions.text import quoted_label
-from souk.operators import joins, topk
+from souk.operators import joins, nearest, topk
 from souk.operators.profile import Profile, distinct_counts, value_profile
 from souk.operators.ranks import Asc, Desc, global_row_number, ntile_columns
 from souk.plans import (
@@ -503,6 +503,13 @@ for _id, _col in {
 }.items():
     add(_id, lambda e, n=_col: e.table("gold_customer_360").select(
         "customer_id", enrichment.customer_labels()[n].alias(n)))
+@query("ai01_persona_by_share")
+def _(e):
+    gold = e.table("gold_customer_360")
+    cuts = enrichment.persona_cuts(gold, scratch(e))
+    return gold.select("customer_id", enrichment.persona_by_share(cuts).alias("persona"))
+
+
 add("ai03_rfm_segment_rules", lambda e: rfm.rfm_segments(
     e.table("rfm_segments").select("customer_id", "r_score", "f_score", "m_score", "rfm_score"))
     .select("customer_id", "extracted_value"))
@@ -519,6 +526,24 @@ add("ai09_seller_embedding", lambda e: enrichment.embedding_arrays(
         "seller_id", F.size("seller_embedding").alias("dimensions"),
         F.size(F.filter("seller_embedding", lambda x: x != 0)).alias("words"),
         F.round(F.aggregate("seller_embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("length")))
+def _seller_words(e) -> DataFrame:
+    vectors = enrichment.embedding_arrays(enrichment.seller_embeddings(e.table("gold_seller_360")))
+    return nearest.entries(vectors, "seller_id", "seller_embedding")
+
+
+add("ai09_similar_sellers", lambda e: nearest.nearest(_seller_words(e), scratch(e), exact=True).select(
+    c("id").alias("seller_id"), "place", c("neighbour").alias("similar_seller"), F.round("similarity", 6).alias("similarity")))
+
+
+@query("ai09_hashed_neighbours")
+def _(e):
+    """Hyperplane buckets against all pairs: nine of ten neighbours at least."""
+    rows = _seller_words(e)
+    exact = nearest.nearest(rows, scratch(e), exact=True)
+    found = nearest.recall(nearest.nearest(rows, scratch(e)), exact)
+    return found.select("ids", "neighbours", (c("found") >= 0.9 * c("neighbours")).alias("enough"))
+
+
 add("ai10_quoted_label", lambda e: e.table("rfm_segments").select(
     "customer_id", quoted_label(F.concat(F.lit("The segment is "), "rfm_segment", F.lit(".")))
     .alias("label")))
