@@ -6,8 +6,8 @@ words. The probabilities start from how often pieces occur in words of the langu
 re-estimated by expectation maximisation over all segmentations.
 
 Words are runs of letters of the lower-cased text with a space before, as UTF-8 bytes. The fit reads
-a bounded sample: about `per_language` labelled documents of each language, chosen by a hash of the
-key, and their words of up to LONGEST bytes. Prediction reads every word of every text.
+a bounded sample: about `per_language` labelled documents of each language, and no more than about
+SAMPLE bytes of its texts, chosen by a hash of the key. Prediction reads every word of every text.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from souk.llm.rawtext import Lookup, Spans, kept_one, text_lists
 
-PIECE = 16  # bytes of the longest piece used
-LONGEST = 32  # bytes of the longest word in the fit
+STEPS = 16  # bytes after which sums are rescaled
+SAMPLE = 8_000_000  # bytes of text that a language gives to the fit
+FEW = 100_000  # languages whose sizes may be sent to every task
 CACHE = 150_000  # words whose likelihoods a worker remembers; a full cache is emptied
 BATCH = 1_000_000  # bytes of text handled at once
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -38,13 +39,14 @@ class Model:
     languages: list[str]
     pieces: np.ndarray  # sorted hashes of the vocabulary
     chances: np.ndarray  # piece by language; the last row, for no piece, is 0
+    longest: int  # bytes of the longest piece
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted hashes of the pieces of a public vocabulary file, one in Base64 per line."""
+def vocabulary(path: str) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the pieces of a public vocabulary file, one in Base64 per line, and the bytes of the longest."""
     with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return np.unique(_hashes([p for p in pieces if 0 < len(p) <= PIECE]))
+        pieces = [p for p in (base64.b64decode(line.split()[0]) for line in f if line.strip()) if p]
+    return np.unique(_hashes(pieces)), max(map(len, pieces), default=0)
 
 
 def _hashes(pieces: list[bytes]) -> np.ndarray:
@@ -59,9 +61,9 @@ def words_of(text: str) -> list[str]:
 class Lattice:
     """The pieces at every place of words of one length: of[l][:, t] are those of l bytes from byte t."""
 
-    def __init__(self, spans: Spans, starts: np.ndarray, size: int, known: Lookup):
-        self.n, self.size, self.of = len(starts), size, {}
-        for width in range(1, min(size, PIECE) + 1):
+    def __init__(self, spans: Spans, starts: np.ndarray, size: int, known: Lookup, longest: int):
+        self.n, self.size, self.longest, self.of = len(starts), size, longest, {}
+        for width in range(1, min(size, longest) + 1):
             begin = (starts[:, None] + np.arange(size - width + 1)).ravel()
             found, which = known(spans(begin, begin + width))
             if len(found):
@@ -69,40 +71,45 @@ class Lattice:
                 ids[found] = which
                 self.of[width] = ids.reshape(len(starts), -1)
 
-    def forward(self, chances: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Sums over all segmentations up to each byte, and the logarithm of what was divided out."""
-        sums, scale = [np.ones((self.n, chances.shape[1]))], np.zeros((self.n, 1))
-        for t in range(1, self.size + 1):
-            a = np.zeros_like(sums[0])
+    def sums(self, chances: np.ndarray, back: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sums over all segmentations up to each byte (or from it on), and the logarithm of what was divided out of each."""
+        sums, logs = [np.ones((self.n, chances.shape[1]))] * (self.size + 1), [np.zeros((self.n, 1))] * (self.size + 1)
+        order = range(self.size - 1, -1, -1) if back else range(1, self.size + 1)
+        for step, t in enumerate(order, 1):
+            a = np.zeros((self.n, chances.shape[1]))
             for width, ids in self.of.items():
-                if width <= t:
-                    a += sums[t - width] * chances[ids[:, t - width]]
-            sums.append(a)
-            if t % PIECE == 0 and t < self.size:
+                if width <= step:
+                    first, from_ = (t, t + width) if back else (t - width, t - width)
+                    a += sums[from_] * chances[ids[:, first]]
+            sums[t], logs[t] = a, logs[t + 1 if back else t - 1]
+            if step % STEPS == 0 and step < self.size:
                 most = a.max(axis=1, keepdims=True)
                 most[most == 0] = 1
-                for j in range(max(0, t - PIECE), t + 1):
-                    sums[j] = sums[j] / most
-                scale += np.log(most)
-        return sums, scale
+                for j in range(t, min(self.size, t + self.longest) + 1) if back else range(max(0, t - self.longest), t + 1):
+                    sums[j], logs[j] = sums[j] / most, logs[j] + np.log(most)
+        return sums, logs
+
+    def forward(self, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over all segmentations, and the logarithm of what was divided out of it."""
+        sums, logs = self.sums(chances)
+        return sums[-1], logs[-1]
 
     def expected(self, chances: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
-        """Adds each piece's expected uses; for words of up to LONGEST bytes, whose sums are rescaled at most once, all together."""
-        sums, scale = self.forward(chances)
-        back = [None] * self.size + [np.ones_like(sums[0])]
-        for t in range(self.size - 1, -1, -1):
-            back[t] = sum((chances[ids[:, t]] * back[t + w] for w, ids in self.of.items() if t + w <= self.size), np.zeros_like(sums[0]))
-        total = back[0]
+        """Adds each piece's expected uses."""
+        ahead, ahead_logs = self.sums(chances)
+        behind, behind_logs = self.sums(chances, back=True)
+        total = ahead[-1]
         share = np.divide(weights, total, out=np.zeros_like(total), where=total > 0)
-        share = share * np.exp(scale)
         for w, ids in self.of.items():
             for t in range(ids.shape[1]):
-                use = sums[t] * chances[ids[:, t]] * back[t + w] * share
+                use = ahead[t] * chances[ids[:, t]] * behind[t + w] * share
+                if self.size > STEPS:
+                    use *= np.exp(ahead_logs[t] + behind_logs[t + w] - ahead_logs[-1])
                 for k in range(out.shape[1]):
                     out[:, k] += np.bincount(ids[:, t], use[:, k], len(out))
 
 
-def _lattices(words: list[str], known: Lookup, most: int = 20_000) -> Iterator[tuple[np.ndarray, Lattice]]:
+def _lattices(words: list[str], known: Lookup, longest: int, most: int = 20_000) -> Iterator[tuple[np.ndarray, Lattice]]:
     raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
     sizes = np.array([len(x) for x in raw], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -110,23 +117,23 @@ def _lattices(words: list[str], known: Lookup, most: int = 20_000) -> Iterator[t
     for size in np.unique(sizes).tolist():
         of = np.flatnonzero(sizes == size)
         for a in range(0, len(of), most):
-            yield of[a : a + most], Lattice(spans, starts[of[a : a + most]], size, known)
+            yield of[a : a + most], Lattice(spans, starts[of[a : a + most]], size, known, longest)
 
 
 def likelihoods(words: list[str], model: Model) -> np.ndarray:
     """Natural logarithm of each word's likelihood in each language."""
     out = np.zeros((len(words), len(model.languages)))
-    for of, lattice in _lattices(words, Lookup(model.pieces)):
+    for of, lattice in _lattices(words, Lookup(model.pieces), model.longest):
         sums, scale = lattice.forward(model.chances)
         with np.errstate(divide="ignore"):
-            out[of] = np.maximum(np.log(sums[-1]), -1e6) + scale
+            out[of] = np.maximum(np.log(sums), -1e6) + scale
     return out
 
 
-def fit(counts: dict[str, Counter], pieces: np.ndarray, rounds: int = 3, smooth: float = 0.05) -> Model:
+def fit(counts: dict[str, Counter], pieces: np.ndarray, longest: int, rounds: int = 3, smooth: float = 0.05) -> Model:
     """counts: of each language's words."""
     languages, known = sorted(counts), Lookup(pieces)
-    words = sorted({w for c in counts.values() for w in c if len(w.encode("utf-8", "surrogatepass")) < LONGEST})
+    words = sorted({w for c in counts.values() for w in c})
     weights = np.array([[counts[k][w] for k in languages] for w in words], float).reshape(len(words), len(languages))
 
     def chances(uses: np.ndarray) -> np.ndarray:
@@ -134,7 +141,7 @@ def fit(counts: dict[str, Counter], pieces: np.ndarray, rounds: int = 3, smooth:
         return np.vstack([p, np.zeros(len(languages))])
 
     start = np.zeros((len(pieces) + 1, len(languages)))
-    for of, lattice in _lattices(words, known):
+    for of, lattice in _lattices(words, known, longest):
         for ids in lattice.of.values():
             for t in range(ids.shape[1]):
                 for k in range(len(languages)):
@@ -142,36 +149,37 @@ def fit(counts: dict[str, Counter], pieces: np.ndarray, rounds: int = 3, smooth:
     p = chances(start)
     for _ in range(rounds):
         uses = np.zeros_like(start)
-        for of, lattice in _lattices(words, known):
+        for of, lattice in _lattices(words, known, longest):
             lattice.expected(p, weights[of], uses)
         p = chances(uses)
-    return Model(languages, pieces, p)
+    return Model(languages, pieces, p, longest)
 
 
-def learn(docs: DataFrame, pieces: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, per_language: int = 400, rounds: int = 3) -> Model:
-    """Fits on about per_language documents of each language among those that meet `train`.
+def learn(docs: DataFrame, words: tuple[np.ndarray, int], key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, per_language: int = 400, rounds: int = 3) -> Model:
+    """Fits the pieces of vocabulary() on about per_language documents of each language among those that meet `train`.
 
     Rows without text or language are left out; without any, the model has no language.
     """
     rows = docs if train is None else docs.where(train)
     rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"), F.lit(float(SAMPLE)) / F.greatest("bytes", F.lit(1)))
     place = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit("fit")), F.lit(1_000_000)) / 1e6
-    sample = rows.join(F.broadcast(sizes), "lang").where(place < share).select("lang", "text")
+    sizes = F.broadcast(sizes) if sizes.limit(FEW + 1).count() <= FEW else sizes
+    sample = rows.join(sizes, "lang").where(place < share).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter()
             for name, x in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.update((name, w) for w in words_of(x) if len(w) < LONGEST)
+                found.update((name, w) for w in words_of(x))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     table = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter] = {}
     for k, w, n in zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts.setdefault(k, Counter())[w] = n
-    return fit(counts, pieces, rounds)
+    return fit(counts, *words, rounds)
 
 
 class Scorer:

@@ -16,7 +16,7 @@ def model():
     hashes = language._hashes(PIECES)
     order = np.argsort(hashes)
     chances = np.random.default_rng(0).random((8, 2))
-    return [PIECES[i] for i in order], language.Model(["x", "y"], hashes[order], np.vstack([chances / chances.sum(0), np.zeros(2)]))
+    return [PIECES[i] for i in order], language.Model(["x", "y"], hashes[order], np.vstack([chances / chances.sum(0), np.zeros(2)]), 4)
 
 
 def test_forward_sums_all_segmentations():
@@ -36,18 +36,37 @@ def test_forward_sums_all_segmentations():
         cut(0, np.ones(2), [])
         assert np.allclose(np.log(total), language.likelihoods([word], m)[0])
         found = np.zeros((9, 2))
-        for _, lattice in language._lattices([word], Lookup(m.pieces)):
+        for _, lattice in language._lattices([word], Lookup(m.pieces), m.longest):
             lattice.expected(m.chances, np.ones((1, 2)), found)
         assert np.allclose(found, uses / total)
     assert np.isfinite(language.likelihoods(["ab" * 5000], m)).all()
 
 
+def test_long_words_in_the_fit():
+    """Expected uses cover each byte of a word once, however often the sums were rescaled."""
+    pieces, m = model()
+    for n in (15, 16, 17, 40, 400, 5_000):
+        word = "ab" * (n // 2) + "b" * (n % 2)
+        uses = np.zeros((9, 2))
+        for _, lattice in language._lattices([word], Lookup(m.pieces), m.longest):
+            lattice.expected(m.chances, np.ones((1, 2)), uses)
+        assert np.allclose(np.array([len(p) for p in pieces] + [0]) @ uses, len(word) + 1)
+
+
+def test_whole_vocabulary():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    pieces, longest = language.vocabulary(path)
+    with open(path, "rb") as f:
+        assert len(pieces) == sum(1 for line in f if line.strip())
+    assert longest > 16
+
+
 def test_estimation_raises_the_likelihood():
     _, m = model()
     counts = {"x": Counter({"ab": 5, "abab": 3, "ba": 1}), "y": Counter({"bb": 4, "aa": 2})}
 
     def total(rounds):
-        fitted = language.fit(counts, m.pieces, rounds, 1e-9)
+        fitted = language.fit(counts, m.pieces, m.longest, rounds, 1e-9)
         return [sum(n * language.likelihoods([w], fitted)[0][k] for w, n in counts[name].items()) for k, name in enumerate(("x", "y"))]
 
     steps = [total(r) for r in range(1, 5)]
