@@ -91,3 +91,22 @@ def test_activity_join_and_facts_share_their_partitioning(engine):
     assert joins == 2
     # one shuffle per aggregate step, none for the joins
     assert text.count("Exchange hashpartitioning") == 5
+
+
+def test_hot_keys_are_found_without_shuffling_the_facts_by_them(spark):
+    """Static plan with the size-based broadcast off: facts are exchanged once, by key and sub-key."""
+    from souk.operators.joins import split_join
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("wide"))
+        dim = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+        out = split_join(facts, dim, "k", spread="wide", hot_rows=20)
+        text = physical(out)
+        assert out.count() == 100 and out.where("v <> 10 * k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("BroadcastHashJoin") == 2 and text.count("SortMergeJoin") == 1
+    raw = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "_sub" not in x]
+    assert len(raw) == text.count("HashAggregate") // 2  # only the counts of the keys
