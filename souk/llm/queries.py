@@ -141,5 +141,6 @@ ORACLE["op8_source_mixing"] = mixing.ORACLE
 QUERIES["op9_quality_rules"] = op9_quality_rules
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
 QUERIES["op11_conversation_repair"] = op11_conversation_repair
+ORACLE["op11_conversation_repair"] = sql.OP11
 QUERIES["op12_simhash_near_dedup"] = op12_simhash_near_dedup
 QUERIES["op13_embedding_whitening"] = op13_embedding_whitening

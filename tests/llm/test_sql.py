@@ -8,7 +8,7 @@ from tests.llm import cases
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet')")
     found = QUERIES[name](spark, small)
     want = con.execute(ORACLE[name])
