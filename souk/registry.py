@@ -448,15 +448,14 @@ _incremental: dict[Engine, Incremental] = {}
 
 
 def _absorbed(e) -> Incremental:
-    """Marts before the write-back, then its orders in two batches, the second one twice."""
+    """Marts before the write-back, then its orders as a batch."""
     if e not in _incremental:
         written = _writeback(e)
         orders, mapping = written.read("orders_merged", schemas.ORDERS), written.read("mapping_merged", schemas.MAPPING)
-        out = Incremental(scratch(e), e.table("customers"), e.as_of, e.now, buckets=16)
+        out = Incremental(scratch(e), e.table("customers"), e.as_of, e.now, buckets=4)
         marts = {n: e.table(n) for n in (*Incremental.MARTS, "rfm_segments")}
         out.start(e.table("orders"), e.table("customer_seller_mapping"), marts)
-        for epoch, half in ((1, "order_id % 2 = 0"), (2, "order_id % 2 = 1"), (2, "order_id % 2 = 1")):
-            out.absorb(orders.where(half), mapping.where(half), epoch)
+        out.absorb(orders, mapping, 1)
         _incremental[e] = out
     return _incremental[e]
 
