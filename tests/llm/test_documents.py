@@ -228,14 +228,17 @@ def test_lines(spark):
     df = frame(spark, rows, "line", "h1", "h2", "at", "copy", "gone", "n_lines", "kept")
     own = df.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
     same = {r.text: r.same for r in own.collect()}
-    found = lines._lines(own)
-    sims = {r.line: r.sim for r in found.select("h1", "h2", "line").distinct().join(lines.simhashes(found), ["h1", "h2"]).collect()}
+    sims = {r.line: r.sim for r in lines.lines_written(own).collect()}
     norm = {r.raw: r.line for r in own.select(F.explode(F.split("text", "\n")).alias("raw")).distinct().withColumn("line", lines.normalised(F.col("raw"))).collect()}
     assert norm["Éa ß"] == "éa ß" and norm["***"] == ""
     hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for x in sims for w in x.split()], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     for text, sim in sims.items():
-        ws = text.split()
+        ws = set(text.split())
         assert sim % 2**64 == sum((2 * sum(hashed[w] >> j & 1 for w in ws) > len(ws)) << j for j in range(64))
+
+    def meet(a, b):
+        x, parts = (sims[a] ^ sims[b]) % 2**64, lines.BLOCKS
+        return x.bit_count() <= lines.BITS and sum((x >> at) % 2**n == 0 for at, n in parts) >= 2
     root, all_ = {x: x for x in sims}, sorted(sims)
 
     def top(x):
@@ -245,7 +248,7 @@ def test_lines(spark):
 
     for i, a in enumerate(all_):
         for b in all_[i + 1 :]:
-            if ((sims[a] ^ sims[b]) % 2**64).bit_count() <= lines.BITS and 5 * cases.edits(a, b) <= max(len(a), len(b)):
+            if meet(a, b) and 5 * cases.edits(a, b) <= max(len(a), len(b)):
                 root[top(a)] = top(b)
     seen = [(top(norm[x]), (r[0] is None, r[0] or 0, same[r[1] or ""], at, k)) for k, r in enumerate(rows) for at, x in enumerate((r[1] or "").split("\n")) if norm[x]]
     first = {}
@@ -261,17 +264,37 @@ def test_lines(spark):
     assert lines.without_similar_lines(spark.createDataFrame([], cases.DOCS)).collect() == []
 
 
+def test_simhash_of_many_words(spark):
+    """Counters of 8, 16 and 32 bits give the majority of every bit."""
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in (1, 2, 127, 128, 3000, 32767, 32768)]
+    df = spark.createDataFrame(rows, "n int, line string")
+    hashed = [r.h for r in spark.range(32768).select(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("h"), "id").orderBy("id").collect()]
+    bits = np.cumsum(np.array(hashed, np.int64).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), axis=0)
+    for r in df.select("n", lines.simhash(F.col("line")).alias("sim")).collect():
+        assert r.sim % 2**64 == sum(int(2 * c > r.n) << j for j, c in enumerate(bits[r.n - 1].tolist()))
+
+
 def test_similar_lines_across_groups(spark):
     """A line that is like no key's smallest line but like another one still joins its group."""
     w = [f"a{i}b" for i in range(60)]
     rows = [(i, " ".join([*w[:i], f"new{i}", *w[i + 1 :]]), None, None, None) for i in range(20)]
     found = lines.without_similar_lines(spark.createDataFrame(rows, cases.DOCS))
-    own = spark.createDataFrame(rows, cases.DOCS).select(F.col("doc_id").alias("key"), "text").withColumn("same", F.lit(0).cast("bigint"))
-    sims = [r.sim % 2**64 for r in lines.simhashes(lines._lines(own)).collect()]
-    root = list(range(20))
-    for _ in root:
-        root = [min(root[j] for j in range(20) if (sims[i] ^ sims[j]).bit_count() <= lines.BITS) for i in range(20)]
-    assert found.where("n_removed > 0").count() == 20 - len(set(root))
+    assert found.where("n_removed > 0").count() == 19
+
+
+def test_recall_of_similar_lines(spark):
+    """Pairs by edit similarity alone, without SimHashes: most of them end in one group, whatever their features."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.lit(0).cast("bigint"))
+    table = lines.lines_written(own)
+    nodes, label = lines.line_groups(table)
+    root = {r.node: r.root for r in label.collect()}
+    texts = table.join(nodes.select("node"), "node").select("node", "line", F.length("line").alias("size"))
+    pairs = texts.toDF("a", "x", "m").join(texts.toDF("b", "y", "n"), F.expr("a < b and m between 20 and 600 and n between 20 and 600 and abs(m - n) * 5 <= greatest(m, n)"))
+    similar = pairs.where(F.expr("levenshtein(x, y, cast(floor(greatest(m, n) / 5) as int)) >= 0")).select("a", "b").collect()
+    caught = [root.get(r.a, r.a) == root.get(r.b, r.b) for r in similar]
+    print(len(caught), sum(caught))
+    assert len(caught) >= 5 and sum(caught) >= 0.7 * len(caught)
 
 
 def test_token_files(spark, rows):
