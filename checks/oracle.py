@@ -29,6 +29,10 @@ O["src01_marketing_interactions"] = texted("m_marketing", moments=["send_timesta
 O["src01_sellers"] = texted("m_sellers", ["seller_onboard_date"])
 O["src01_realtime_order_events"] = texted("m_events", moments=["event_timestamp"])
 O["src02_seller_json_ingest"] = O["src01_sellers"]
+O["src02_json_paths"] = (
+    "SELECT seller_id, seller_name, seller_tier, active_products, count(*) AS items FROM m_sellers GROUP BY ALL "
+    "UNION ALL SELECT NULL, NULL, NULL, NULL, 2 * count(*) FROM m_sellers"
+)
 O["src03_replace_table"] = "SELECT loyalty_tier, count(*) AS customers FROM m_customers GROUP BY 1"
 O["src04_append_rows"] = O["src01_realtime_order_events"]
 O["src05_create_if_absent"] = "SELECT event_id FROM m_events"
@@ -1012,6 +1016,22 @@ O["qst7_critical_customers_with_sellers"] = (
     "k.seller_id = s.seller_id WHERE f.retention_priority = 'CRITICAL'"
 )
 
+# -- SQL over views and table functions --------------------------------------------------
+
+O["udx02_customer_profile"] = O["rpt31_customer_profile"]
+O["udx02_customer_recent_orders"] = O["rpt32_customer_recent_orders"]
+O["udx02_customer_loyalty"] = O["rpt33_customer_loyalty"]
+O["udx02_customer_platforms"] = O["rpt34_customer_platforms"]
+O["udx02_customers_at_risk"] = O["rpt11_customer_forecast_detail_high"]
+O["udx02_sellers_at_risk"] = O["rpt18_seller_forecast_detail"]
+O["udx02_orders_of_tier"] = (
+    f"SELECT o.category, count(*) AS orders, count(*) FILTER (o.order_date < {AS_OF_SQL}) AS before_today FROM m_orders o "
+    "JOIN m_customers c ON o.customer_id = c.customer_id WHERE lower(c.loyalty_tier) = 'gold' GROUP BY 1"
+)
+O["str04_sketched_reach"] = (
+    "SELECT seller_id, count(DISTINCT customer_id) AS exact, true AS near FROM m_events GROUP BY seller_id"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: compose(PARTS, sql) for name, sql in O.items()}

@@ -28,13 +28,15 @@ from souk.plans import (
     rfm,
 )
 from souk.plans.incremental import Incremental, seller_facts, sellers
-from souk.sources import schemas
+from souk.sources import paths, schemas
 from souk.sources.seller_json import ingest_sellers
 from souk.sources.store import Store, with_defaults
 from souk.sources.testdata import AS_OF
+from souk.sqlviews import ask
 from souk.streaming import changes, windows
 from souk.streaming.activity import ActivityJobs
 from souk.streaming.live import run_live_customers, run_live_sellers
+from souk.streaming.reach import reach, run_reach
 from souk.streaming.writeback import run_writeback
 
 ONE_CUSTOMER = 7  # the customer shown in the self-service lookups
@@ -110,6 +112,19 @@ def _(e):
     return ingest_sellers(raw)
 
 
+@query("src02_json_paths")
+def _(e):
+    """Sellers as nested objects of unknown shape, with broken texts, mistyped fields and bare objects between them."""
+    inner = F.struct(c("seller_tier").alias("tier"), F.array(c("total_orders"), c("active_products")).alias("counts"))
+    item = F.to_json(F.struct("seller_id", F.struct("seller_name", inner.alias("shop")).alias("is")))
+    odd = F.concat(F.lit('{"seller_id": "'), c("seller_name"), F.lit('", "is": 3}'))
+    raw = e.table("sellers").select(F.explode(F.array(
+        F.concat(F.lit("["), item, F.lit(", null, "), odd, F.lit("]")), F.concat(F.lit("{ "), item), F.lit("[]"))).alias("body"))
+    found = paths.fields(paths.json_items(raw, "body"), seller_id=("$.seller_id", "bigint"), seller_name=("$.is.seller_name", "string"),
+                         seller_tier=("$.is.shop.tier", "string"), active_products=("$.is.shop.counts[1]", "bigint"))
+    return found.groupBy("seller_id", "seller_name", "seller_tier", "active_products").agg(F.count("*").alias("items"))
+
+
 @query("src03_replace_table")
 def _(e):
     store, people = scratch(e), e.table("customers")
@@ -605,6 +620,16 @@ def _(e):
     return jobs.sellers()
 
 
+@query("str04_sketched_reach")
+def _(e):
+    """Estimates of streamed sketches against exact numbers: within four standard errors, or half a customer."""
+    store = scratch(e)
+    run_reach(e.spark, _landing(e), store)
+    exact = e.table("realtime_order_events").groupBy("seller_id").agg(F.count_distinct("customer_id").alias("exact"))
+    near = F.abs(c("recent_unique_customers") - c("exact")) <= F.greatest(F.lit(0.5), 4 * 1.04 / 64 * c("exact"))
+    return exact.join(reach(store), "seller_id", "full").select("seller_id", "exact", F.coalesce(near, F.lit(False)).alias("near"))
+
+
 add("str03_customer_activity", lambda e: e.plan("customer_recent_activity"))
 add("str04_seller_activity", lambda e: e.plan("seller_recent_activity"))
 add("str05_customer_live", lambda e: e.plan("customer_live"))
@@ -770,6 +795,23 @@ for _t, _k in {"customers": "customer_id", "marketing_interactions": "interactio
                "customer_seller_mapping": "order_id"}.items():
     add(f"rpt40_preview_{_t}", lambda e, t=_t, k=_k: topk.first_k(e.table(t), k, 10))
 
+# -- SQL over views and table functions ------------------------------------------------------
+
+
+def _asked(name: str, text: str, *views: str, **values) -> None:
+    add(f"udx02_{name}", lambda e: ask(e, text, list(views), **values))
+
+
+_asked("customer_profile", "SELECT * FROM customer_profile(:id)", "customers", id=ONE_CUSTOMER)
+_asked("customer_recent_orders", "SELECT * FROM customer_recent_orders(:id)", "orders", id=ONE_CUSTOMER)
+_asked("customer_loyalty", "SELECT * FROM customer_loyalty(:id)", "rfm_segments", "customers", id=ONE_CUSTOMER)
+_asked("customer_platforms", "SELECT * FROM customer_platforms(:id)", "platform_profiles", id=ONE_CUSTOMER)
+_asked("customers_at_risk", "SELECT * FROM customers_at_risk(:level)", FC, level="HIGH")
+_asked("sellers_at_risk", "SELECT * FROM sellers_at_risk()", FS)
+_asked("orders_of_tier", """SELECT o.category, count(*) AS orders, count_if(o.order_date < souk_as_of) AS before_today
+    FROM orders o JOIN customers c ON o.customer_id = c.customer_id WHERE lower(c.loyalty_tier) = :tier GROUP BY o.category""",
+       "orders", "customers", tier="gold")
+
 # -- alerts -------------------------------------------------------------------------------
 
 _report("alr01_seller_fraud", alerts.fraud_details, "sellers")
