@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from souk.engine import REFRESH_ORDER, Engine
 from souk.sources.schemas import BASE_TABLES
 
-VIEWS = [*BASE_TABLES, *REFRESH_ORDER, "platform_profiles"]
+VIEWS = [*(n for n in BASE_TABLES if n != "realtime_events_merged"), *REFRESH_ORDER, "platform_profiles"]  # all but the write-back ledger
 
 # Name, parameters, views that are read, query. A wanted level of ALL keeps every row.
 FUNCTIONS = [
