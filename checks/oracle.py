@@ -191,6 +191,15 @@ O["jn07_composite_key_mapping"] = (
     "JOIN m_events e ON o.customer_id = e.customer_id AND o.order_date = "
     "CAST(e.event_timestamp AS DATE) AND o.order_value = e.order_value"
 )
+_nth = "row_number() OVER (PARTITION BY customer_id, {0}, order_value ORDER BY {1}) AS nth"
+_day_of_event = "CAST(event_timestamp AS DATE)"
+O["jn07_one_to_one_mapping"] = (
+    "SELECT o.customer_id, o.order_id, o.product_id, o.category, e.seller_id FROM "
+    f"(SELECT *, {_nth.format('order_date', 'order_id')} FROM m_merged) o JOIN "
+    f"(SELECT *, {_nth.format(_day_of_event, 'event_timestamp, event_id')} FROM m_events) e ON "
+    "o.customer_id = e.customer_id AND o.order_date = CAST(e.event_timestamp AS DATE) AND "
+    "o.order_value = e.order_value AND o.nth = e.nth"
+)
 O["jn08_left_anti"] = "SELECT event_id, customer_id FROM m_events WHERE NOT is_cancelled"
 O["jn09_flatten_array"] = "SELECT customer_id, platform FROM m_plat"
 LOYALTY = (

@@ -84,6 +84,27 @@ def global_row_number(
     return numbered.select(*df.columns, (F.col("_before") + F.col("_pos") + 1).alias(out))
 
 
+def group_row_number(
+    df: DataFrame, by: list[str], order, store: Store, name: str, out: str = "row_number", slices: int | None = None
+) -> DataFrame:
+    """``df`` plus its 1-based row number within its group, for groups of any size.
+
+    A window by group puts a hot group into one task.  Here a group may lie in
+    several slices of the global order; only its first number is looked up, by
+    (group, slice), so no task gets more than a slice's rows of it.  Rows with
+    a null in ``by`` belong to no group and are left out.
+    """
+    known = df.dropna(subset=by)
+    placed = sorted_slices(known, [*[Asc(c) for c in by], *order], store, name, slices)
+    numbered = placed.join(F.broadcast(_offsets(placed)), "_slice")
+    numbered = numbered.withColumn("_n", F.col("_before") + F.col("_pos") + 1)
+    pieces = numbered.groupBy(*by, "_slice").agg(F.min("_n").alias("_least"))
+    firsts = pieces.groupBy(*by).agg(F.min("_least").alias("_first"))
+    starts = pieces.join(firsts, by).select(*by, "_slice", "_first")
+    rows = numbered.join(starts, [*by, "_slice"])
+    return rows.select(*df.columns, (F.col("_n") - F.col("_first") + 1).alias(out))
+
+
 def ntile_columns(
     df: DataFrame,
     buckets: int,

@@ -9,7 +9,7 @@ from souk.functions.hashing import pick_from, salted_hash, salted_pick
 from souk.functions.ladders import choose
 from souk.functions.nulls import greatest_n, iff
 from souk.operators.joins import not_in, split_join
-from souk.operators.ranks import Asc, global_row_number
+from souk.operators.ranks import Asc, global_row_number, group_row_number
 from souk.sources.buckets import Bucketed, touched
 from souk.sources.schemas import EVENT_LEDGER, MAPPING, MERGED_IDS, ORDERS
 from souk.sources.store import Store, conform
@@ -147,6 +147,33 @@ def mapping_by_value(orders: DataFrame, events: DataFrame, after_id) -> DataFram
     return conform(new.join(seen, ["customer_id", "order_date", "order_value"]), MAPPING)
 
 
+def mapping_one_to_one(
+    orders: DataFrame, events: DataFrame, after_id, store: Store, slices: int | None = None
+) -> DataFrame:
+    """As ``mapping_by_value``, but each order and each event is used once.
+
+    Of equal (customer, day, value) the n-th order by id goes with the n-th
+    event by time, then id.  What has no partner left is in no row; nor is
+    what has no customer, day or value.  A customer may own any share of the
+    rows: numbers within a group come from the global order, and the join is
+    by (customer, day, value, number).
+    """
+    by = ["customer_id", "order_date", "order_value"]
+    new = orders.filter(F.col("order_id") > after_id).select("order_id", "product_id", "category", *by)
+    seen = events.select(
+        "customer_id",
+        F.to_date("event_timestamp").alias("order_date"),
+        "order_value",
+        "seller_id",
+        "event_timestamp",
+        "event_id",
+    )
+    of_orders = group_row_number(new, by, [Asc("order_id")], store, "matched_orders", "_nth", slices)
+    when = [Asc("event_timestamp"), Asc("event_id")]
+    of_events = group_row_number(seen, by, when, store, "matched_events", "_nth", slices)
+    return conform(of_orders.join(of_events, [*by, "_nth"]), MAPPING)
+
+
 def merge_epoch(
     store: Store, events: DataFrame, last_base_id: int, customers: DataFrame, epoch: int
 ) -> None:

@@ -280,6 +280,8 @@ def _merged(e):
 
 add("jn07_composite_key_mapping", lambda e: merge.mapping_by_value(
     merge.order_rows(_merged(e)), e.table("realtime_order_events"), -1))
+add("jn07_one_to_one_mapping", lambda e: merge.mapping_one_to_one(
+    merge.order_rows(_merged(e)), e.table("realtime_order_events"), -1, scratch(e)))
 add("jn08_left_anti", lambda e: merge.unmerged(
     e.table("realtime_order_events"),
     e.table("realtime_order_events").filter("is_cancelled").select("event_id"))
