@@ -110,3 +110,35 @@ def test_hot_keys_are_found_without_shuffling_the_facts_by_them(spark):
     assert text.count("BroadcastHashJoin") == 2 and text.count("SortMergeJoin") == 1
     raw = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "_sub" not in x]
     assert len(raw) == text.count("HashAggregate") // 2  # only the counts of the keys
+
+
+def test_large_base_tables_are_stored_as_narrow_rows(spark, small, tmp_path):
+    from souk.engine import Engine
+    from souk.sources.store import Store
+    from souk.sources.testdata import TestData
+    from tests.helpers import as_set
+
+    e = Engine(spark, TestData(spark, small), Store(spark, str(tmp_path / "store")))
+    for name in ("orders", "marketing_interactions"):
+        source = TestData(spark, small)
+        rows = {"orders": source._order_lines, "marketing_interactions": source._interactions}[name]()
+        assert as_set(e.table(name)) == as_set(source._map(rows, source._mapping(name)))
+        assert not e.store.exists(name)
+    read = scans(physical(e.table("orders").select("order_id", "customer_id")))
+    assert read == ["order_id:bigint,customer_id:bigint"]
+
+    again = Engine(spark, TestData(spark, small), e.store)
+    again.source.narrow = None  # a second process on the same store writes nothing
+    assert again.table("orders").count() == e.table("orders").count()
+
+
+def test_an_engine_over_stored_tables_copies_none(spark, small, tmp_path):
+    from souk.engine import Engine
+    from souk.registry import _Stored
+    from souk.sources.store import Store
+
+    e = engine_for(spark, small)
+    fresh = Engine(spark, _Stored(e), Store(spark, str(tmp_path / "store")), e.as_of, e.now)
+    for name in ("customers", "orders", "sellers", "marketing_interactions", "realtime_order_events"):
+        assert fresh.table(name).count() == e.table(name).count()
+        assert not fresh.store.exists(name)
