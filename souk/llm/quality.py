@@ -11,12 +11,13 @@ do not depend on the order of addition.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.columns import let
-from souk.llm.store import stored
+from souk.llm.store import slices, stored
 
 BUCKETS = 1 << 14
 HELD = 5  # one in so many trusted texts is not fitted on but sets the threshold
@@ -115,12 +116,43 @@ def fence(trusted: DataFrame, table: list[int], key: str = "doc_id", text: str =
     rules = stored(base_rules(trusted, key, text).select(F.col("key").alias("_key"), F.col("same").alias("_same"), "base_failed"))  # else the filter repeats the rules
     rules = rules.where(~F.col("base_failed"))
     found = scores(trusted, table, key, text).join(rules, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_same") == F.col("same")), "left_semi")
-    low, middle = found.agg(F.percentile("score", F.lit(LOW)), F.percentile("score", F.lit(0.5))).first()
+    low, middle = quantiles(found, "score", [LOW, 0.5])
     return float("-inf") if low is None else 2 * low - middle
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of all known values, between two neighbours by their distance, as F.percentile has them.
+
+    That holds all values in one task; here they are sorted in ranges, of which the driver gets the sizes.
+    """
+    known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place within it in the lower 33
+    ranges = known.repartitionByRange(slices(rows.sparkSession), "v").sortWithinPartitions("v")
+    placed = stored(ranges.withColumn("at", place))
+    sizes = sorted(placed.groupBy(F.shiftright("at", 33).alias("range")).count().collect())
+    n = sum(size for _, size in sizes)
+    if not n:
+        return [None] * len(shares)
+
+    def at(number: int) -> int:
+        for part, size in sizes:
+            if number < size:
+                return (part << 33) + number
+            number -= size
+
+    spots = [(n - 1) * s for s in shares]
+    wanted = {i: at(i) for x in spots for i in (math.floor(x), math.ceil(x))}
+    value = dict(placed.where(F.col("at").isin(list(wanted.values()))).select("at", "v").collect())
+    found = []
+    for x in spots:
+        i, j = math.floor(x), math.ceil(x)
+        a, b = value[wanted[i]], value[wanted[j]]
+        found.append(a if a == b else (j - x) * a + (x - i) * b)
+    return found
+
+
 def quality(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
-    """base_rules() with score and kept for each row; target holds the trusted texts, a bounded number, in columns of the same names.
+    """base_rules() with score and kept for each row; target holds the trusted texts, any number, in columns of the same names.
 
     kept is false if base_failed, else whether the score reaches the threshold. Without a given one
     the ratios are fitted on all but one in HELD of the trusted texts, chosen by a hash of the text,

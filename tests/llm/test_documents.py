@@ -209,6 +209,23 @@ def test_quality_of_labelled_documents(spark):
     assert sum(clean) >= 0.98 * len(clean)
 
 
+def test_all_trusted_documents_are_used(spark, tmp_path):
+    n = 60_000  # more than once went to every task
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    ids.select("doc_id", F.lit("a b").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.expr("int(doc_id < 10)").alias("toxic"))
+    labels.unionByName(labels).write.parquet(str(tmp_path / "labels.parquet"))
+    assert queries.trusted(spark, str(tmp_path)).count() == n - 10
+
+
+def test_quantiles(spark):
+    rows = spark.range(1003).select(F.when(F.col("id") % 17 > 0, F.hash("id") % 50 / 7).alias("x"))
+    shares = [0.0, 0.01, 0.37, 0.5, 1.0]
+    want = list(rows.agg(*[F.percentile("x", F.lit(s)) for s in shares]).first())
+    assert quality.quantiles(rows, "x", shares) == want
+    assert quality.quantiles(rows.limit(1), "x", [0.5]) == [None]
+
+
 def test_lines(spark):
     rnd = np.random.default_rng(2)
     pool = [[f"wort{rnd.integers(300)}" for _ in range(int(rnd.integers(1, 40)))] for _ in range(12)]
