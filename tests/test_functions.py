@@ -144,3 +144,24 @@ def test_exact_sums_keep_small_and_large_amounts(spark):
     assert large.agg(exact_sum(F.col("v"))).first()[0] == 1e18
     assert large.agg(exact_avg(F.col("v"))).first()[0] == 1e15
     assert spark.range(4).agg(weighted_avg(F.col("id") + F.lit(0.000001), F.col("id"))).first()[0] == (14 + 6e-6) / 6
+
+
+def test_exact_sums_of_cents_are_added_as_whole_numbers(spark):
+    """Whole cents do not pass a decimal; other amounts among them count to their eighth place."""
+    from decimal import Decimal
+
+    from souk.functions.exact import exact_sum, weighted_avg
+
+    mixed = [0.29, -0.0, None, 1.15, 1e-8, 0.285, 999999.99, 1000000.01, 123456789.12345678, -17.1, 2.0**49]
+    df = spark.createDataFrame([(v, w) for w, v in enumerate(mixed)] + [(5.25, 99), (5.25, 100), (0.1, 10**6)], "v double, w long")
+    known = [(Decimal(repr(r.v)).quantize(Decimal("1e-8")), r.w) for r in df.collect() if r.v is not None]
+    got = df.agg(exact_sum(F.col("v")).alias("s"), weighted_avg(F.col("v"), F.col("w")).alias("m"), exact_sum(F.lit(None).cast("double")).alias("none"))
+    row = got.first()
+    assert row.s == float(sum(v for v, _ in known)) and row.none is None
+    assert row.m == float(sum(v * w for v, w in known)) / sum(w for _, w in known)
+    for amount in (F.col("v").cast("decimal(30,12)"), F.col("w"), F.col("v").cast("float")):
+        plain = df.agg(F.sum(amount.cast("decimal(28,8)")).cast("double")).first()[0]
+        assert df.agg(exact_sum(amount)).first()[0] == plain
+    cents = spark.range(1000).select((F.col("id") / 100).alias("v")).agg(exact_sum(F.col("v")).alias("s"))
+    text = cents._jdf.queryExecution().optimizedPlan().toString()
+    assert "as bigint) END)" in text and cents.first().s == 4995.0
