@@ -1,9 +1,11 @@
-"""Orders with their seller."""
+"""Orders with their seller, and labels of sellers that need no more than plain measures of them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from souk.engine import Engine
-from souk.plans import gold_seller
+from souk.plans import enrichment, gold_seller
+from souk.registry import QUERIES
 from souk.sources import schemas
 from souk.sources.store import Store
 from souk.sources.testdata import TestData
@@ -46,3 +48,16 @@ def test_orders_of_sellers_are_not_shuffled_by_order(spark, small, tmp_path):
     own = Engine(spark, TestData(spark, small), Store(spark, str(tmp_path)))
     plan = own.plan("seller_orders")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(order_id" not in plan and not own.store.exists("customer_seller_mapping")
+
+
+def test_labels_of_sellers_build_no_more_than_they_read(spark, small, tmp_path):
+    own = Engine(spark, TestData(spark, small), Store(spark, str(tmp_path)))
+    names = {"ai07_seller_classification": "seller_classification", "ai08_performance_sentiment": "performance_sentiment_score", "ai14_seller_suggested_action": "suggested_action"}
+    found = {n: QUERIES[n](own) for n in names} | {"ai13_main_risk_and_strength": QUERIES["ai13_main_risk_and_strength"](own)}
+    rows = {n: as_set(df) for n, df in found.items()}
+    assert not own.store.exists("gold_seller_360") and not own.store.exists("seller_orders")
+    whole = enrichment.seller_enriched(own.table("gold_seller_360"), own.now)
+    for n, df in found.items():
+        assert rows[n] == as_set(whole.select(*df.columns)) == as_set(QUERIES[n](own))  # the last from the stored mart
+    assert len({r[1] for r in rows["ai14_seller_suggested_action"]}) > 1
+    assert whole.where(F.col("total_orders_actual").isNotNull()).count() > 0
