@@ -165,6 +165,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     benchmark hits nothing. Other columns of both tables are not read.
     """
     kind = docs.schema[key].dataType
+    whole = _matched(docs, benchmark, key, text, item, item_text, width, shingle, block)
+    out = whole.mapInArrow(_digest, f"key {kind.simpleString()}, n_words bigint, n_hit bigint, items_sha256 string, items array<string>, spans array<bigint>, same bigint")
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans", "same")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """key, _same, n_words, spans and items of benchmark_hits(), by one Python step."""
+    kind = docs.schema[key].dataType
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("_same", F.xxhash64(F.coalesce("text", F.lit(""))))
     windows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(_windows("item", "text", width), "item string, window binary").distinct()
     windows = stored(windows)
@@ -181,8 +189,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
             whole = whole.unionByName(more)
         whole = whole.groupBy("key", "_same").agg(F.count(F.lit(1)).alias("rows"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         whole = whole.withColumn("row", F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int")))).select("key", "_same", "n_words", "spans", "items")
-    out = whole.mapInArrow(_digest, f"key {kind.simpleString()}, n_words bigint, n_hit bigint, items_sha256 string, items array<string>, spans array<bigint>, same bigint")
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "spans", "same")
+    return whole
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -193,7 +200,8 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """
     own, names = renamed(docs)
     key, text = names[key], names[text]
-    hit = benchmark_hits(own, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("hit_key"), F.col("same").alias("hit_same")).distinct()
+    # Without the digests of benchmark_hits(): a second Python step would keep a second worker for each core from here on.
+    hit = _matched(own, benchmark, key, text, **options).where(F.size("spans") > 0).select(F.col("key").alias("hit_key"), F.col("_same").alias("hit_same")).distinct()
     hit = stored(hit)
     few = F.broadcast(hit) if hit.count() <= BLOCK else hit
     own = own.withColumn("hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))

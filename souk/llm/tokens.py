@@ -23,11 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from souk.llm.rawtext import Spans, chunks, kept_one
+from souk.llm.rawtext import Spans, begin, chunks, give_back, kept_one
 from souk.llm.store import slices
 
 CACHE = 500_000  # pieces whose ids a worker remembers; a full memory is emptied
-BATCH = 1_000_000  # bytes of text encoded at once
+BATCH = 250_000  # bytes of text encoded at once; about a hundred times that is held meanwhile
 # Characters up to U+024F, whose classes are certain.
 _LETTERS, _DIGITS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _PLAIN = 0x250
@@ -305,16 +305,21 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     return wanted.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
-def checksums(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers), from the ids read."""
+def _checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, start, n_tokens and ids_crc32 of rows with key, start and ids; ids are not copied."""
+    begin()  # the tasks before have left an encoder
+    for batch in batches:
+        ids = batch.column("ids")
+        at = ids.offsets.to_numpy()
+        raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        out = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+        del batch, ids, raw
+        give_back()
+        yield out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            at = ids.offsets.to_numpy()
-            raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
+def checksums(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers), from the ids read."""
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), "start", "ids").mapInArrow(run, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("key", key)
+    return rows.select(F.col(key).alias("key"), "start", "ids").mapInArrow(_checked, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("key", key)

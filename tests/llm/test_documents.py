@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from souk.llm import decontaminate, lines, mixing, neardup, quality, queries, tokens
+from souk.llm import decontaminate, lines, mixing, neardup, quality, queries, rawtext, tokens
 from souk.llm.components import components
 from souk.llm.queries import byte_bpe
 from souk.llm.store import fresh
@@ -47,6 +48,14 @@ def test_benchmark_hits(spark, rows, block):
     assert cases.ordered(left.select("doc_id", "text").collect()) == cases.ordered(r[:2] for r, w in zip(rows, want, strict=True) if not w[5])
 
 
+def test_removal_needs_no_digests(spark, rows, monkeypatch):
+    """A second Python step in a stage doubles the workers that later stages fill."""
+    monkeypatch.setattr(decontaminate, "_digest", None)
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero One, two three.", None, None, None), (2, "one two", None, None, None)], cases.DOCS)
+    assert [r.doc_id for r in decontaminate.without_benchmark(docs, bench).collect()] == [2]
+
+
 def test_benchmark_empty(spark, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.benchmark_hits(frame(spark, rows), none).where("contaminated").count() == 0
@@ -336,6 +345,18 @@ def test_token_files(spark, rows):
     assert "EqualTo(doc_id,501)" in plan
 
 
+def test_checksums_drop_the_encoder():
+    """Tasks that read the files back do not hold what the tasks that wrote them remembered."""
+    rawtext.kept_one("encoder", dict)
+    rawtext.begin()  # the writing task; the next one has not asked
+    ids = pa.array([[1, 2, 0], [0]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([0, 3]), ids], ["key", "start", "ids"])
+    (out,) = tokens._checked([batch])
+    assert out.column("n_tokens").to_pylist() == [3, 1]
+    assert out.column("ids_crc32").to_pylist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ([1, 2, 0], [0])]
+    assert not rawtext.kept("one", dict)
+
+
 def test_token_files_empty(spark):
     path = fresh(spark, "tokens")
     tokens.write_tokens(spark.createDataFrame([], cases.DOCS), path, byte_bpe())
