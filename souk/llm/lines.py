@@ -28,7 +28,7 @@ BLOCKS = tuple((9 * i, 9 if i < 6 else 10) for i in range(7))  # first bit, numb
 WIDTHS = ((8, 127), (16, 32767), (32, 2**31 - 1))  # bits of a counter, words it can count
 FEW = 100_000  # rows of a table that may be sent to every task; larger ones are shuffled
 WANTED = 1_000_000  # the same for rows of a single number
-STEPS = (8, 3)  # parts of the allowed edits that are tried first: work grows with the edits tried, and most similar lines have few
+PIECE, ANCHOR, LARGE = 64, 12, 256  # characters from one sought cut of a line to the next, compared at it, and of a stretch whose edits are counted
 
 
 def normalised(line: Column) -> Column:
@@ -88,13 +88,35 @@ def _ring(sim: Column, apart: int) -> Column:
 
 
 def _similar(a: Column, b: Column) -> Column:
-    """Edits are a fifth of the longer line's characters at most; few edits are tried first, which is quicker."""
+    """Edits are a fifth of the longer line's characters at most. Most similar lines show it by _enough(); for the rest they are counted."""
     most = F.floor(F.greatest(F.length(a), F.length(b)) / 5).cast("int")
-    edits = lambda n: F.call_function("levenshtein", a, b, n) >= 0
-    found = edits(most)
-    for part in reversed(STEPS):
-        found = F.when(edits(F.floor(most / part).cast("int")), True).otherwise(found)
-    return (F.abs(F.length(a) - F.length(b)) <= most) & found
+    pair = F.struct(a.alias("a"), b.alias("b"), most.alias("most"))
+    edited = lambda p: F.when(_enough(p.a, p.b, p.most) <= p.most, True).otherwise(F.call_function("levenshtein", p.a, p.b, p.most) >= 0)
+    return (F.abs(F.length(a) - F.length(b)) <= most) & let(pair, edited)
+
+
+def _enough(a: Column, b: Column, most: Column) -> Column:
+    """A number of edits that make b of a, though not always the least: work grows with the length, not with its square.
+
+    Both lines are cut wherever the ANCHOR characters at every PIECE-th place of a come again in b, not far from where they are
+    expected after the cut before, and the edits of the stretches between are added. A stretch of more than LARGE
+    characters counts as replaced whole. Beyond `most` no more cuts are sought.
+    """
+
+    def edits(x: Column, y: Column) -> Column:
+        size = lambda p: F.greatest(F.length(p.x), F.length(p.y))
+        return let(F.struct(x.alias("x"), y.alias("y")), lambda p: F.when(p.x == p.y, 0).when(size(p) > LARGE, size(p)).otherwise(F.levenshtein(p.x, p.y)))
+
+    def step(s: Column, at: Column) -> Column:
+        anchor, ahead = F.substring(a, at, F.lit(ANCHOR)), at - s.at
+        found = F.when(F.substring(b, s.to + ahead, F.lit(ANCHOR)) == anchor, s.to + ahead).otherwise(F.call_function("locate", anchor, b, s.to + F.greatest(F.lit(1), F.floor(ahead / 2).cast("int"))))
+        cut = lambda to: F.struct(at.alias("at"), to.alias("to"), (s.n + edits(F.substring(a, s.at, ahead), F.substring(b, s.to, to - s.to))).alias("n"))
+        return F.when(s.n > most, s).otherwise(let(found, lambda to: F.when((to == 0) | (to > s.to + 2 * ahead), s).otherwise(cut(to))))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("to"), F.lit(0).alias("n"))
+    rest = lambda s: s.n + edits(F.substring(a, s.at, F.length(a)), F.substring(b, s.to, F.length(b)))
+    places = F.when(F.length(a) > PIECE, F.sequence(F.lit(PIECE + 1), F.length(a), F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, rest)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -308,6 +308,34 @@ def test_similar_lines_across_groups(spark):
     assert found.where("n_removed > 0").count() == 19
 
 
+def test_enough_edits(spark):
+    """Never fewer than the least edits; lines of tens of thousands of characters with few edits are not compared whole."""
+    rnd = np.random.default_rng(12)
+    word = lambda: "".join(rnd.choice(list("abcdefgö"), rnd.integers(2, 9)))
+
+    def changed(words, share):
+        out = []
+        for w in words:
+            kind = rnd.random() / share if share else 9
+            out += [w] if kind > 1 else [word()] if kind > 0.6 else [w, word()] if kind > 0.3 else []
+        return out
+
+    pairs = []
+    for n in (1, 5, 30, 90, 300):
+        for share in (0, 0.02, 0.1, 0.25, 0.6):
+            for words in ([word() for _ in range(n)], [w for _ in range(4) for w in [word()] * -(-n // 4)]):
+                pairs.append((" ".join(words), " ".join(changed(words, share))))
+    pairs += [("", ""), ("", "ab"), ("a" * 700, "a" * 640), ("ab" * 300, "ba" * 300)]
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) / 5).cast("int")
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({"most": most, "least": F.levenshtein("a", "b")})
+    df = df.withColumns({"n": lines._enough(F.col("a"), F.col("b"), F.col("most")), "similar": lines._similar(F.col("a"), F.col("b"))})
+    for r in df.collect():
+        assert r.n >= r.least and r.similar == (r.least <= r.most), r
+    long = [word() for _ in range(9_000)]
+    r = spark.createDataFrame([(" ".join(long), " ".join(changed(long, 0.05)))], "a string, b string").withColumn("most", most).select("most", lines._enough(F.col("a"), F.col("b"), F.col("most")).alias("n")).first()
+    assert r.n <= r.most
+
+
 def test_recall_of_similar_lines(spark):
     """Pairs by edit similarity alone, without SimHashes: most of them end in one group, whatever their features."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
