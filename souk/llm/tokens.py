@@ -27,7 +27,7 @@ from souk.llm.rawtext import Spans, begin, chunks, give_back, kept_one
 from souk.llm.store import slices
 
 CACHE = 500_000  # pieces whose ids a worker remembers; a full memory is emptied
-BATCH = 250_000  # bytes of text encoded at once; about a hundred times that is held meanwhile
+BATCH = 250_000  # bytes of text encoded at once; its arrays take many times that
 # Characters up to U+024F, whose classes are certain.
 _LETTERS, _DIGITS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _PLAIN = 0x250
