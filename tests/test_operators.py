@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,31 @@ def test_chosen_filter(spark):
 def test_measures_become_rows(spark):
     df = spark.range(4).agg(F.count("*").cast("double").alias("n"), F.max("id").cast("double").alias("m"))
     assert as_set(topk.as_rows(df, "name", "value")) == [("m", 3.0), ("n", 4.0)]
+
+
+@pytest.mark.parametrize("ranges, kind", [(4096, "bigint"), (4096, "int"), (1, "bigint"), (4096, "string")])
+def test_rows_of_known_keys(spark, ranges, kind):
+    """Of whole numbers near and far, below zero, repeated and null, and of texts; by bitmaps or by a join."""
+    far = [] if kind == "int" else [2**62, -(2**62), -(2**63)]
+    ids = [None, 0, 1, 1, -1, 32_767, 32_768, 32_769, -32_768, *far]
+    others = [None, 2, 2, -2, 32_766, -32_767, 70_000, *[i // 2 for i in far]]
+    keys = spark.createDataFrame([(i,) for i in ids], "k long").select(F.col("k").cast(kind).alias("k"))
+    facts = spark.createDataFrame([(i, n) for n, i in enumerate([*ids, *others])], "k long, v long")
+    facts = facts.select("v", F.col("k").cast(kind).alias("k"))
+    found = joins.known_keys(facts, keys, "k", spread="v", ranges=ranges)
+    assert found.schema == facts.schema
+    assert as_set(found) == as_set(facts.join(keys, "k", "left_semi").select("v", "k"))
+    assert joins.known_keys(facts, keys.where("false"), "k", spread="v", ranges=ranges).isEmpty()
+
+
+def test_rows_of_known_keys_are_not_shuffled(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = spark.range(1_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        found = joins.known_keys(facts, spark.range(500).select(F.col("id").alias("k")), "k", spread="v")
+        text = plan_text(found)
+        assert found.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in text and not re.search(r"hashpartitioning\(k#", text)

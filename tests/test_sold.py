@@ -61,3 +61,28 @@ def test_labels_of_sellers_build_no_more_than_they_read(spark, small, tmp_path):
         assert rows[n] == as_set(whole.select(*df.columns)) == as_set(QUERIES[n](own))  # the last from the stored mart
     assert len({r[1] for r in rows["ai14_seller_suggested_action"]}) > 1
     assert whole.where(F.col("total_orders_actual").isNotNull()).count() > 0
+
+
+def test_orders_travel_without_what_they_are_made_of(spark, small):
+    """Lines go to their order without columns that no one reads, and orders to their parts and customers as they are stored."""
+    plan = TestData(spark, small).narrow("orders")._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" in plan and "l_tax" not in plan and "l_shipdate" not in plan
+    moved = [line for line in plan.splitlines() if "rebalance" in line.lower() or "Exchange" in line]
+    assert any("hashpartitioning(customer_id" in line for line in moved)
+    assert not any("hashpartitioning(o_custkey" in line for line in moved)
+
+
+def test_customers_of_sellers_need_no_mapping_where_sellers_took_turns(spark, tmp_path):
+    """Orders without id, customer or a known one, and written-back orders, whose sellers the mapping alone tells."""
+    own = Engine(spark, Own(spark, [*ORDERS, *STRAY]), Store(spark, str(tmp_path)))
+    found = own.table("gold_seller_360")
+    assert not own.store.exists("customer_seller_mapping")
+    served = gold_seller.seller_customer_metrics(own.table("customers"), own.plan("customer_seller_mapping"))
+    served = served.where("seller_id IS NOT NULL")
+    assert served.count() > 0
+    assert as_set(found.where("total_customers_served IS NOT NULL").select(*served.columns)) == as_set(served)
+    one = typed(spark, schemas.ORDERS, [ORDERS[0] | {"order_id": 77}])
+    link = one.select("customer_id", "order_id", "product_id", "category", F.lit(1).cast("long").alias("seller_id"))
+    own.add_orders(one, link)
+    assert as_set(own.seller_links()) == as_set(own.table("customer_seller_mapping").select("seller_id", "customer_id"))
+    assert own.seller_links().count() == own.plan("seller_orders").count() + 1  # the order without id

@@ -1,12 +1,14 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from souk.sources import schemas
 from souk.sources.seller_json import ingest_sellers
-from souk.sources.store import Store, shared_root, typed_read, with_defaults
+from souk.sources.buckets import Bucketed
+from souk.sources.store import CLEANUP, Store, shared_root, typed_read, with_defaults
 from tests.helpers import as_set, frame
 
 
@@ -92,3 +94,25 @@ def test_seller_json(spark):
     assert str(rows[5].seller_onboard_date) == "2020-02-03"
     assert rows[6].years_on_platform is None and rows[6].is_top_seller is None
     assert ingest_sellers(raw).schema == schemas.SELLERS
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, store):
+    """Of a chain of stored tables only those are on disk; queries that are not stored keep what they shuffled."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    rows = spark.range(1_000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    before = shuffled()
+    stored = store.replace("t", rows, cluster_by="k")
+    stored = store.replace("t", stored.groupBy("k").agg(F.sum("v").alias("v")))
+    store.append("a", rows.distinct(), 0)
+    Bucketed(store, "b", "k", rows.schema, 2).write(rows)
+    for _ in range(50):  # Spark removes them by and by
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(CLEANUP, "false") == "false"
+    assert stored.count() == 7 and store.read("a").count() == 1_000
